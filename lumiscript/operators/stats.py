@@ -29,7 +29,7 @@ def erf(x: Column) -> Column:
 
     series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), zero, step, lambda s: s["sum"])
     value = F.least(2 / math.sqrt(math.pi) * F.exp(-a * a) * series, F.lit(1.0))
-    return F.when(x < 0, -value).otherwise(value)
+    return F.when(x < 0, -value).when(x >= 0, value)
 
 
 def erfc(x: Column) -> Column:
