@@ -1,7 +1,7 @@
 """Problem 5: one consistent form for text that looks the same.
 
 A text is cut into chunks at spaces and line ends. A chunk with a code point
-outside the ordinary ones (a regular expression, run in the scan) is dirty; the
+outside plain text (a small character class, run in the scan) is dirty; the
 distinct dirty chunks, with the script of their neighbours, are exploded to
 positioned code points and joined with two broadcast tables made from the
 Unicode data: decompositions with look-alikes, and combining classes. Combining
@@ -25,14 +25,18 @@ and keeps whole words of another alphabet.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumiscript.llm.common import checkpointed
+
 # Cyrillic, Greek and Armenian letters that look like a Latin letter.
 CYRILLIC_PLAIN = {"а": "a", "в": None, "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I"}
 GREEK_PLAIN = {"ο": "o", "ν": "v", "α": "a", "ρ": "p", "υ": "u", "ι": "i", "κ": "k", "χ": "x", "γ": "y", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X"}
@@ -109,43 +113,44 @@ def ranges(points: list[int]) -> str:
     return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in out)
 
 
-@lru_cache(maxsize=1)
-def suspicious() -> str:
-    """Matches a code point that may have to change: all but composed letters and what the mapping lacks."""
-    points = [ord(c) for c, _, kind in mapping() if kind != "canonical" and kind != "chinese"]
-    points += [ord(c) for c, v, kind in mapping() if kind == "canonical" and unicodedata.normalize("NFC", c) != c]
-    points += [ord(c) for c, _ in classes()]
-    return f"[{ranges(points)}]"
-
-
-@lru_cache(maxsize=1)
-def suspicious_wide() -> str:
-    """Full-width punctuation in a chunk without Chinese."""
-    return f"[{ranges([ord(c) for c in CHINESE_PUNCTUATION])}]"
+#: A code point outside plain text: the scan looks for one before anything else. What it finds beyond the mapping stays as it is.
+UNUSUAL = r"[^\n\x20-\x7E¡-¬®-ÏÑ-ïñ-ÿĂăĐđĨĩŨũƠơƯư\x{1EA0}-\x{1EF9}–—‘’“”…]"
 
 
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a fixed size as a literal, to be broadcast."""
-    import pandas as pd
-
     names = [x.split()[0] for x in schema.split(", ")]
     return F.broadcast(spark.createDataFrame(pd.DataFrame(rows, columns=names), schema))
 
 
-CHUNKS = r"(?<=[ \n])"
+def composed_by_library(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x))
+
+    return nfc(text)
+
+
+#: Chunks end with a space or line; a longer run is cut, between letters and never before their marks.
+CHUNKS = r"[^ \n]{1,256}\p{M}*[ \n]?|[ \n]"
+
+
+def chunks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0))
+
+
 FOREIGN_OWN = rf"[\x{{370}}-\x{{3FF}}\x{{400}}-\x{{52F}}&&[^{ranges([ord(c) for c in FOREIGN])}]]"
 
 
 def dirty_chunks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, pos, chunk (without its end), own: whether a neighbour is of another alphabet than Latin."""
     chunk = F.regexp_replace("_c", r"[ \n]$", "")
-    is_dirty = chunk.rlike(suspicious()) | (chunk.rlike(suspicious_wide()) & ~chunk.rlike(f"[{HAN}]"))
-    rows = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").rlike(suspicious()) | F.col("_t").rlike(suspicious_wide()))
-    rows = rows.select(*keys, F.split("_t", CHUNKS).alias("_all"))
+    rows = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").rlike(UNUSUAL))
+    rows = rows.select(*keys, chunks_of(F.col("_t")).alias("_all"))
     rows = rows.select(*keys, "_all", F.posexplode("_all").alias("_pos", "_c"))
     near = F.concat_ws(" ", F.when(F.col("_pos") > 0, F.get("_all", F.col("_pos") - 1)), F.get("_all", F.col("_pos") + 1))
     own = F.when(near.rlike(FOREIGN_OWN), "foreign").when(near.rlike(r"[A-Za-zÀ-ÿĂăĐđĨĩŨũƠơƯư\x{1EA0}-\x{1EF9}]"), "latin").otherwise("none")
-    return rows.filter(is_dirty).select(*keys, F.col("_pos").alias("pos"), chunk.alias("chunk"), own.alias("near"))
+    return rows.filter(F.col("_c").rlike(UNUSUAL)).select(*keys, F.col("_pos").alias("pos"), chunk.alias("chunk"), own.alias("near"))
 
 
 def rebuilt_chunks(chunks: DataFrame) -> DataFrame:
@@ -163,13 +168,13 @@ def rebuilt_chunks(chunks: DataFrame) -> DataFrame:
     back = {v: k for k, v in CYRILLIC_PLAIN.items() if v}
     mixed = F.when(latin & F.col("chunk").rlike(r"[\x{400}-\x{52F}&&[^" + ranges([ord(c) for c in CYRILLIC_PLAIN]) + "]]"), F.translate("chunk", "".join(back), "".join(back.values()))).otherwise(F.col("chunk"))
     base = base.select("chunk", "near", counts.alias("_counts"), F.col("chunk").rlike(f"[{HAN}]").alias("_han"), F.regexp_replace(mixed, BROKEN, "").alias("_clean"), F.col("chunk").rlike(BROKEN).alias("_broken"), mixed.alias("_mixed"))
-    points = base.select("chunk", "near", "_counts", "_han", "_broken", F.posexplode(F.split("_mixed", "(?!^)")).alias("i", "cp"), "_mixed")
+    points = base.select("chunk", "near", "_counts", "_han", "_broken", F.posexplode(F.split("_mixed", "")).alias("i", "cp"), "_mixed")
     # What broken encoding left keeps its code points.
     left = F.col("_broken") & F.col("cp").isin("\xa0", "\xad") & F.expr("substring(_mixed, i, 1)").rlike("[ÂÃÄÅÆáâº»]")
     points = points.join(table, "cp", "left")
     plain = F.when(left, F.col("cp")).when((F.col("kind") == "foreign") & ~F.col("_counts"), F.col("cp")).when((F.col("kind") == "chinese") & F.col("_han"), F.col("cp")).otherwise(F.coalesce("plain", "cp"))
     # A stand-in of several code points (a decomposition) is exploded in its turn.
-    points = points.select("chunk", "near", "i", F.posexplode(F.split(plain, "(?!^)")).alias("j", "p")).filter("p <> ''")
+    points = points.select("chunk", "near", "i", F.posexplode(F.split(plain, "")).alias("j", "p")).filter("p <> ''")
     points = points.join(ccc, points.p == ccc.mark, "left").select("chunk", "near", "i", "j", "p", F.coalesce("ccc", F.lit(0)).alias("ccc"))
     marks = F.sort_array(F.collect_list(F.struct("ccc", "i", "j", "p")))
     # Bases number the clusters; the chunks are short, so one task sorts each.
@@ -180,7 +185,11 @@ def rebuilt_chunks(chunks: DataFrame) -> DataFrame:
     n = F.size("a")
     prefix = cluster.filter(n > 1).select("chunk", "near", "g", "a", F.explode(F.sequence(F.lit(2), n)).alias("k")).withColumn("parts", F.array_join(F.slice("a", 1, F.col("k")), ""))
     best = prefix.join(composed, "parts").groupBy("chunk", "near", "g").agg(F.max_by("whole", "k").alias("whole"), F.max("k").alias("k"))
-    single = cluster.join(best, ["chunk", "near", "g"], "left").select("chunk", "near", "g", F.when(F.col("whole").isNull(), F.array_join("a", "")).otherwise(F.concat("whole", F.array_join(F.slice("a", F.col("k") + 1, F.greatest(n - F.col("k"), F.lit(0))), ""))).alias("s"))
+    found = cluster.join(best, ["chunk", "near", "g"], "left")
+    done = found.filter((n == 1) | (F.col("k") == n)).select("chunk", "near", "g", F.coalesce("whole", F.array_join("a", "")).alias("s"))
+    # Marks that compose past one that doesn't are few, and settled by the library.
+    rest = found.filter((n > 1) & (F.col("k").isNull() | (F.col("k") < n))).select("chunk", "near", "g", composed_by_library(F.array_join("a", "")).alias("s"))
+    single = done.unionByName(rest)
     whole = single.groupBy("chunk", "near").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "s"))), lambda x: x["s"]), "").alias("plain"))
     out = base.select("chunk", "near").join(whole, ["chunk", "near"], "left").select("chunk", "near", F.coalesce("plain", F.lit("")).alias("plain"))
     return out.filter(F.col("plain") != F.col("chunk"))
@@ -188,7 +197,7 @@ def rebuilt_chunks(chunks: DataFrame) -> DataFrame:
 
 def lookalike_records(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Distinct keys of the records whose text has a look-alike or hidden code point."""
-    chunks = dirty_chunks(df, keys, text)
+    chunks = checkpointed(dirty_chunks(df, keys, text))
     changed = rebuilt_chunks(chunks).select("chunk", "near")
     return chunks.join(changed, ["chunk", "near"], "left_semi").select(*keys).distinct()
 
@@ -199,25 +208,32 @@ def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     Records in order are passed through; only the keys and replacements of the
     dirty ones are grouped, and joined back to their texts.
     """
-    chunks = dirty_chunks(df, keys, text)
+    chunks = checkpointed(dirty_chunks(df, keys, text))
     swaps = chunks.join(rebuilt_chunks(chunks), ["chunk", "near"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("chunk", "plain")))).alias("_swap"))
     rows = df.select(*keys, F.col(text).alias("_t")).join(swaps, keys, "left")
     end = lambda x, old, new: F.concat(new, F.substr(x, F.length(old) + 1))
-    parts = F.transform(F.split("_t", CHUNKS), lambda x, i: F.coalesce(end(x, F.col("_swap")[i]["chunk"], F.col("_swap")[i]["plain"]), x))
+    parts = F.transform(chunks_of(F.col("_t")), lambda x, i: F.coalesce(end(x, F.col("_swap")[i]["chunk"], F.col("_swap")[i]["plain"]), x))
     return rows.select(*keys, F.when(F.col("_swap").isNull(), F.col("_t")).otherwise(F.array_join(parts, "")).alias(text), F.coalesce(F.size("_swap"), F.lit(0)).cast(T.LongType()).alias("changed"))
 
 
 @lru_cache(maxsize=1)
-def plain_table() -> dict[int, str]:
+def plain_table() -> tuple[dict[int, str], dict[int, str]]:
     return {ord(c): unicodedata.normalize("NFC", v) for c, v, kind in mapping() if kind == "always"}, {ord(c): v for c, v in FOREIGN.items()}
 
 
+UNUSUAL_RE = re.compile("[^\n\x20-\x7e\xa1-\xac\xae-\xcf\xd1-\xef\xf1-\xffĂăĐđĨĩŨũƠơƯư\u1ea0-\u1ef9–—‘’“”…]")
+FOREIGN_RE = re.compile("[" + "".join(FOREIGN) + "]")
+OTHER_RE = re.compile("[\u0370-\u052f\u4e00-\u9fff]")
+
+
 def plain_text(text: str) -> str:
     """The consistent form of one text, for operators that compare texts within a map: as above, but judged by the whole text's script."""
-    if text.isascii():
+    if not UNUSUAL_RE.search(text):
         return text
     always, foreign = plain_table()
     out = text.translate(always)
-    if any(c in FOREIGN for c in out) and sum("a" <= c <= "z" or "\xc0" <= c <= "\u1ef9" and c.isalpha() and ord(c) not in range(0x370, 0x530) for c in out.lower()) > 0.7 * sum(c.isalpha() for c in out):
-        out = out.translate(foreign)
+    if FOREIGN_RE.search(out):
+        letters = sum(map(str.isalpha, out))
+        if len(OTHER_RE.findall(out)) < 0.3 * letters:
+            out = out.translate(foreign)
     return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
