@@ -10,67 +10,101 @@ one although it has no stop. Closing phrases that whole texts end with again
 and again, without a stop, are complete.
 
 Defined results: null, blank and wordless texts are no case; redelivered rows
-count once (the last one); a null source has a rate of its own.
+(equal but for their arrival) count once; a null source has a rate of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiscript.llm.common import checkpointed, strip_marks
+from lumiscript.llm.common import checkpointed, folded
 
-WORDS = r"\d+(?:[.,/:]\d+)*|[\p{L}\p{M}&&[^\p{IsHan}]]+|\p{IsHan}"
-STOPS = r"[.!?…。！？；;：:)\]\"”’»']"
+WORDS = re.compile(r"\d+(?:[.,/:]\d+)*|[㐀-鿿]|(?:[^\W\d_㐀-鿿][\u0300-\u036f]*)+")
 #: Sentences end at a stop before white space, at Chinese stops, and at lines.
-SENTENCES = r"(?<=[.!?…])\s+|(?<=[。！？])\s*|\s*\n\s*"
+SENTENCES = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*|\s*\n\s*")
+HIDDEN = re.compile("[\xad\u200b-\u200f\u2060\ufeff]")
+STOP = re.compile(r"[.!?…。！？;；:：)\]\"”’»']$")
+#: A stop that a number or the number of a list may have of its own.
+NUMBERED = re.compile(r"(?:\d[.,:]|(?:^|\n)\s*(?:\d{1,3}|[^\W\d_])[.)])$")
+NUMBER = re.compile(r"\d[.,]$")
+#: What no text ends with: open punctuation, a gap, a part of a date or amount.
+OPEN = re.compile(r"[,(\[“‘«–—/-]$|\d/\d{1,2}/\d{1,3}$|\.\d{3}\.\d{1,2}$")
+GAP = re.compile(r"[^\s.!?…。！？;:] $")
 #: A word pair ends sentences rarely if under this share of its occurrences do; pairs and words under ``SEEN`` say nothing.
 RARE_END, SEEN = 0.012, 20
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words; numbers are one word, Han characters are words."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: F.when(w.rlike(r"^\d"), "#").otherwise(w))
-
-
-def last_word(text: Column) -> Column:
-    return F.element_at(words_of(text), -1)
-
-
-def units(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, u (from the end, 0 the last), words, stopped: the sentences and lines of each text."""
-    t = F.rtrim(F.regexp_replace(F.col("_t"), r"(?U)\s+$|[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]", ""))
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("_t")).filter("_t IS NOT NULL").select("k", t.alias("_t"), (F.col("_t").rlike(r"[^\s.!?…。！？;:] $") | t.rlike(r"[,(\[“‘«–—/-]$|\d/\d{1,2}/\d{1,3}$|\.\d{3}\.\d{1,2}$")).alias("open"))
-    parts = F.filter(F.split("_t", SENTENCES), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    # The end of a text: a stop, but not one within a number or after the number of a list.
-    stopped = F.col("_t").rlike(STOPS + "$") & ~F.col("_t").rlike(r"(?:\d[.,:]|(?:^|\n)\s*(?:\d{1,3}|\p{L})[.)])$")
-    rows = rows.select("k", parts.alias("p"), stopped.alias("stop"), F.col("_t").rlike(r"\x{FFFD}$").alias("torn"), F.col("open"), F.col("_t").rlike(r"\d[.,]$").alias("number"))
-    rows = rows.select("k", "stop", "torn", "open", "number", F.size("p").alias("n"), F.posexplode("p").alias("u", "s"))
-    return rows.select("k", (F.col("n") - 1 - F.col("u")).alias("u"), "stop", "torn", "open", "number", F.regexp_replace("s", r"\x{FFFD}+$", "").alias("s")).withColumn("w", words_of(F.col("s"))).filter(F.size("w") > 0)
+def sentences(text: str) -> list[list[str]]:
+    """The sentences and lines as lower-case words; numbers are one word, Han characters are words."""
+    out = []
+    for part in SENTENCES.split(text):
+        w = ["#" if x[0].isdigit() else x for x in WORDS.findall(part.lower())]
+        if w:
+            out.append(w)
+    return out
 
 
-def opening(w: Column) -> Column:
+def opening(w: list[str]) -> str:
     """The first two words, without the number of a list."""
-    return F.concat_ws(" ", F.slice(F.when((F.size(w) > 3) & (F.element_at(w, 1) == "#"), F.slice(w, 2, 2)).otherwise(w), 1, 2))
+    return " ".join(w[1:3] if len(w) > 3 and w[0] == "#" else w[:2])
+
+
+def cut_notes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One pass over the texts: their unstopped ends, and the corpus's counts summed within each batch.
+
+    kind ``pair``: a, b, n, ends; ``opening``: a, n, size; ``end``: k, torn,
+    open, number, the last words a and b, the sentence s, its opening o, size.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            pairs, ends, opened = Counter(), Counter(), Counter()
+            rows = []
+            for k, raw in zip(pdf["k"], pdf["_t"]):
+                t = HIDDEN.sub("", raw).rstrip()
+                torn = t.endswith("\ufffd")
+                units = sentences(t.rstrip("\ufffd"))
+                if not units:
+                    continue
+                stopped = bool(STOP.search(t)) and not NUMBERED.search(t)
+                for i, w in enumerate(units):
+                    whole = stopped or i < len(units) - 1
+                    # The last word of an unstopped text may be torn and is no evidence of a word.
+                    known = w if whole else w[:-1]
+                    pairs.update(zip(["", *known], known))
+                    if whole:
+                        ends[(known[-2] if len(known) > 1 else "", known[-1])] += 1
+                        if len(w) >= 2:
+                            opened[opening(w), len(w)] += 1
+                if not stopped:
+                    w = units[-1]
+                    rows.append(("end", k, w[-2] if len(w) > 1 else "", w[-1], folded(" ".join(w)), opening(w), len(w), torn, bool(OPEN.search(t) or GAP.search(raw)), bool(NUMBER.search(t)), 1, 0))
+            rows += [("pair", None, a, b, None, None, 0, False, False, False, n, ends[a, b]) for (a, b), n in pairs.items()]
+            rows += [("opening", None, o, None, None, None, size, False, False, False, n, 0) for (o, size), n in opened.items()]
+            yield pd.DataFrame(rows, columns=["kind", "k", "a", "b", "s", "o", "size", "torn", "open", "number", "n", "ends"]).astype({"k": object})
+
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("_t")).filter("_t IS NOT NULL")
+    return rows.mapInPandas(run, f"kind string, k {kind}, a string, b string, s string, o string, size bigint, torn boolean, open boolean, number boolean, n bigint, ends bigint")
 
 
 def cut_off(df: DataFrame, key: str = "gen_id", text: str = "output", min_support: int = 5) -> DataFrame:
-    """key, reason: the cut texts of ``df`` (one row per key), judged by the texts of ``df`` as the corpus."""
-    kind = df.schema[key].dataType
-    u = units(df, key, text)
-    size = F.size("w")
-    whole = (F.col("u") > 0) | F.col("stop")
-    # Statistics of the corpus. The last word of an unstopped text may be torn and is no evidence of a word.
-    inner = u.select(F.when(whole, F.concat(F.array(F.lit("")), F.col("w"))).otherwise(F.concat(F.array(F.lit("")), F.slice("w", 1, size - 1))).alias("w"), whole.alias("whole"))
-    pairs = inner.filter(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b"), (F.col("whole") & (i == F.size("w") - 1)).cast("int").alias("e")))).alias("x")).select("x.*")
-    bigrams = checkpointed(pairs.groupBy("a", "b").agg(F.count("*").alias("n_all"), F.sum("e").alias("n_end")))
+    """key, reason: the cut texts of ``df``, judged by the texts of ``df`` as the corpus; one row per key and reason."""
+    notes = checkpointed(cut_notes(df, key, text))
+    bigrams = checkpointed(notes.filter("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n_all"), F.sum("ends").alias("n_end")))
     known = bigrams.groupBy("b").agg(F.sum("n_all").alias("w_all"), F.sum("n_end").alias("w_end"))
+    # The nodes of the trie that are asked for: those under the last words.
     node = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, F.lit(1), i)))
-    frequent = bigrams.filter((F.col("n_all") >= 2) & (F.length("b") > 1))
-    trie = frequent.select("a", node(F.col("b")).alias("b"), "n_all").groupBy("a", "b").agg(F.sum("n_all").alias("below"))
-    word_trie = known.filter((F.col("w_all") >= 2) & (F.length("b") > 1)).select(node(F.col("b")).alias("b"), "w_all").groupBy("b").agg(F.sum("w_all").alias("w_below"))
-    openings = u.filter(whole & (size >= 2)).groupBy(opening(F.col("w")).alias("o")).agg(F.count("*").alias("o_n"), F.percentile_approx(size, 0.01, 200).alias("o_min"), F.max(size).alias("o_max"))
-    final = u.filter("u = 0 AND NOT stop").select("k", "torn", "open", "number", "w", opening(F.col("w")).alias("o"), size.alias("len"), F.element_at("w", -1).alias("b"), F.when(size > 1, F.element_at("w", -2)).otherwise("").alias("a"), strip_marks(F.concat_ws(" ", "w")).alias("s"))
+    trie = bigrams.filter("n_all >= 2 AND length(b) > 1").select("a", node(F.col("b")).alias("b"), "n_all").groupBy("a", "b").agg(F.sum("n_all").alias("below"))
+    word_trie = known.filter("w_all >= 2 AND length(b) > 1").select(node(F.col("b")).alias("b"), "w_all").groupBy("b").agg(F.sum("w_all").alias("w_below"))
+    sizes = notes.filter("kind = 'opening'").groupBy(F.col("a").alias("o"), "size").agg(F.sum("n").alias("n"))
+    openings = sizes.groupBy("o").agg(F.sum("n").alias("o_n"), F.percentile("size", F.lit(0.01), F.col("n")).alias("o_min"), F.max("size").alias("o_max"))
+    final = notes.filter("kind = 'end'").select("k", "torn", "open", "number", "a", "b", "s", "o", F.col("size").alias("len"))
     closings = final.groupBy("s").agg(F.count("*").alias("s_n")).filter(F.col("s_n") >= min_support)
     x = final.join(bigrams, ["a", "b"], "left").join(trie, ["a", "b"], "left").join(known, "b", "left").join(word_trie, "b", "left").join(openings, "o", "left").join(closings, "s", "left")
     n_all, n_end, below = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_all", "n_end", "below"))
@@ -91,12 +125,12 @@ def cut_off(df: DataFrame, key: str = "gen_id", text: str = "output", min_suppor
         .when(short, "short sentence")
         .when(rare, "rare ending")
     )
-    return x.select(F.col("k").cast(kind).alias(key), reason.alias("reason")).filter("reason IS NOT NULL").distinct()
+    return x.select(F.col("k").alias(key), reason.alias("reason")).filter("reason IS NOT NULL").distinct()
 
 
 def cut_rates(df: DataFrame, cut: DataFrame, key: str = "gen_id", source: str = "tag", text: str = "output") -> DataFrame:
-    """source, n_texts (that aren't blank), n_cut, cut_rate; ``df`` has a row per key."""
-    rows = df.filter(F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), F.col(source).alias("s"))
+    """source, n_texts (that aren't blank), n_cut, cut_rate over the distinct keys."""
+    rows = df.filter(F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), F.col(source).alias("s")).distinct()
     hit = cut.select(F.col(key).alias("k"), F.lit(1).alias("c")).distinct()
     out = rows.join(hit, "k", "left").groupBy("s").agg(F.count("*").alias("n_texts"), F.count("c").alias("n_cut"))
     return out.select(F.col("s").alias(source), "n_texts", "n_cut", F.round(F.col("n_cut") / F.col("n_texts"), 6).alias("cut_rate"))

@@ -18,6 +18,7 @@ vote); repeated rows give a defect once.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -51,14 +52,25 @@ CORE = re.compile(
 OPEN = re.compile(r"^\W*(?:xin loi|rat tiec|thanh that xin loi|voi vai tro|toi xin phep|that tiec|tiec la|i am sorry|i'm sorry|sorry|unfortunately|as an? (?:ai|assistant|language)|desole|lo siento|извините|к сожалению|抱歉|对不起|很遗憾)")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
-MARKED = frozenset(chr(c) for c in FOLD if chr(c).isalpha())
+MARKED = re.compile("[" + "".join(sorted(chr(c) for c in FOLD if chr(c).isalpha())) + "]")
+NOT_LATIN = re.compile("[^\x00-\u024f\u0300-\u036f\u1e00-\u1eff\u2010-\u2026]")
+STOPPED = re.compile(r"[.!?。！？…]$")
+NUMBER_STOP = re.compile(r"\d\.$")
+
+
+def plainly(text: str) -> str:
+    """Folded; a text in Latin letters takes the short way over its decomposition."""
+    low = text.lower()
+    if NOT_LATIN.search(low):
+        return folded(low)
+    return unicodedata.normalize("NFD", low.replace("đ", "d").replace("…", "...")).encode("ascii", "ignore").decode()
 
 
 def pair_votes(prompt: str | None, response: str | None) -> dict:
     """The votes that need the two texts only; missing keys abstain."""
     v: dict[str, int] = {}
     a = plain_text(response) if response else ""
-    f = folded(a)
+    f = plainly(a)
     words = WORDS.findall(f)
     rest = WORDS.findall(LABELS.sub(" ", f)) if len(words) < 12 else words
     v["e_blank"] = int(not words)
@@ -83,7 +95,7 @@ def pair_votes(prompt: str | None, response: str | None) -> dict:
             v["r_short"] = 1
     else:
         v["r_short"] = 0
-    q = WORDS.findall(folded(plain_text(prompt))) if prompt else []
+    q = WORDS.findall(plainly(plain_text(prompt))) if prompt else []
     if len(q) >= 3:
         own = {*q}
         cover = sum(w in own for w in words) / len(words)
@@ -122,11 +134,11 @@ def language_votes(model: LangModel, prompts: list[str], responses: list[str]) -
             v["o_main"] = int(main[i] != main[j])
             if min(margin[i], margin[j]) >= 0.3:
                 v["o_family"] = int(FAMILY_OF[LANGS[main[i]]] != FAMILY_OF[LANGS[main[j]]] or main[i] != main[j])
-            marks = [sum(c in MARKED for c in t) / max(1, sum(c.isalpha() for c in t)) for t in (prompts[i], responses[i])]
-            if marks[0] >= 0.1:  # Vietnamese with its marks
-                if marks[1] >= 0.1:
+            marks = [len(MARKED.findall(t)) / max(1, len(t)) for t in (prompts[i], responses[i])]
+            if marks[0] >= 0.08:  # Vietnamese with its marks
+                if marks[1] >= 0.08:
                     v["o_marks"] = 0
-                elif marks[1] < 0.05 and main[j] != LANGS.index("vi"):
+                elif marks[1] < 0.04 and main[j] != LANGS.index("vi"):
                     v["o_marks"] = 1
         out.append(v)
     return out
@@ -135,7 +147,7 @@ def language_votes(model: LangModel, prompts: list[str], responses: list[str]) -
 def voted_pairs(df: DataFrame, model: LangModel, key: str, prompt: str, response: str, reason: str | None = None) -> DataFrame:
     """key and a column for each labelling function (null: it abstains); one row per row of ``df``."""
     bc = df.sparkSession.sparkContext.broadcast(model)
-    names = [x for k in ("empty", "refusal", "copy", "other_language") for x in DEFECTS[k]]
+    names = [x for k in ("empty", "refusal", "copy", "other_language") for x in DEFECTS[k]] + ["t_stop", "t_reason"]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -145,21 +157,20 @@ def voted_pairs(df: DataFrame, model: LangModel, key: str, prompt: str, response
                 p = pdf.iloc[lo : lo + 500]
                 q, a = [x or "" for x in p["q"]], [x or "" for x in p["a"]]
                 votes = [x | y if x.get("e_label") == 0 else x for x, y in zip(map(pair_votes, q, a), language_votes(m, q, a))]
-                out = {"k": p["k"].to_numpy()} | {x: pd.array([v.get(x) for v in votes], "Int8") for x in names}
-                yield pd.DataFrame(out)
-
-    rows = df.select(F.col(key).alias("k"), F.col(prompt).alias("q"), F.col(response).alias("a"))
+                for v, t, f in zip(votes, a, p["f"]):
+                    t = t.rstrip()
+                    if STOPPED.search(t) and not NUMBER_STOP.search(t):
+                        v["t_stop"] = 0
+                    if f in ("length", "stop"):
+                        v["t_reason"] = int(f == "length")
+                yield pd.DataFrame({"k": p["k"].to_numpy()} | {x: pd.array([v.get(x) for v in votes], "Int8") for x in names})
+
+    rows = df.select(F.col(key).alias("k"), F.col(prompt).alias("q"), F.col(response).alias("a"), (F.lower(reason) if reason else F.lit(None).cast("string")).alias("f"))
     voted = rows.mapInPandas(run, f"k {kind}, " + ", ".join(f"{x} tinyint" for x in names))
-    cut = cut_off(df, key, response).select(F.col(key).alias("k"), "reason")
-    end = df.select(F.col(key).alias("k"), F.rtrim(F.regexp_replace(response, r"(?U)\s+$", "")).alias("t"), (F.lower(reason) if reason else F.lit(None).cast("string")).alias("f"))
-    end = end.select("k", F.when(F.col("t").rlike(r"[.!?。！？…]$") & ~F.col("t").rlike(r"\d\.$"), 0).alias("t_stop"), F.when(F.col("f") == "length", 1).when(F.col("f") == "stop", 0).alias("t_reason"))
     word = F.col("reason").isin("inside a word", "torn character")
-    return (
-        voted.join(cut, "k", "left").join(end, "k", "left")
-        .withColumn("t_word", F.when(word, 1).when(F.col("reason").isNull(), 0))
-        .withColumn("t_sentence", F.when(F.col("reason").isNotNull() & ~word, 1).when(F.col("reason").isNull(), 0))
-        .withColumnRenamed("k", key)
-    )
+    cut = cut_off(df, key, response).groupBy(F.col(key).alias("k")).agg(F.max(word.cast("int")).alias("w"))
+    votes = voted.join(cut, "k", "left").withColumn("t_word", F.when(F.col("w") == 1, 1).when(F.col("w").isNull(), 0)).withColumn("t_sentence", F.when(F.col("w") == 0, 1).when(F.col("w").isNull(), 0))
+    return votes.drop("w").withColumnRenamed("k", key)
 
 
 def fit_defects(voted: DataFrame) -> dict[str, tuple[LabelModel, float]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiscript.llm import confusables, consensus, cutoff, langid, leakage, packing, pairs, repetition, scans, subjects
-from lumiscript.llm.common import checkpointed, latest, table
+from lumiscript.llm.common import checkpointed, table
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> langid.LangModel:
@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_model(spark, sf_dir)
     docs = langid.language_segments(table(spark, sf_dir, "documents"), model, ["doc_id"]).withColumn("tbl", F.lit("documents")).withColumnRenamed("doc_id", "rec_id")
-    gens = latest(table(spark, sf_dir, "generations"), ["gen_id"], "ingested_at", ["output"])
+    gens = table(spark, sf_dir, "generations").select("gen_id", "output").dropDuplicates(["gen_id"])
     gens = langid.language_segments(gens, model, ["gen_id"], "output").withColumn("tbl", F.lit("generations")).withColumnRenamed("gen_id", "rec_id")
     return docs.unionByName(gens).select("tbl", "rec_id", "seg", F.round("n_words", 1).alias("n_words"), "lang", F.round("confidence", 6).alias("confidence"))
 
@@ -94,10 +94,9 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = latest(table(spark, sf_dir, "generations"), ["gen_id"], "ingested_at", ["prompt", "output", "finish_reason"])
-    g = g.select(F.concat(F.lit("generations:"), F.col("gen_id")).alias("key"), F.col("prompt").alias("q"), F.col("output").alias("a"), "finish_reason")
-    q = latest(table(spark, sf_dir, "qa_items"), ["id"], "created_at", ["question", "answer_reference"])
-    q = q.select(F.concat(F.lit("qa_items:"), F.col("id")).alias("key"), F.col("question").alias("q"), F.col("answer_reference").alias("a"), F.lit(None).cast("string").alias("finish_reason"))
+    """Redelivered rows are equal but for their arrival, so each gives the same defects."""
+    g = table(spark, sf_dir, "generations").filter("gen_id IS NOT NULL").select(F.concat(F.lit("generations:"), F.col("gen_id")).alias("key"), F.col("prompt").alias("q"), F.col("output").alias("a"), "finish_reason")
+    q = table(spark, sf_dir, "qa_items").filter("id IS NOT NULL").select(F.concat(F.lit("qa_items:"), F.col("id")).alias("key"), F.col("question").alias("q"), F.col("answer_reference").alias("a"), F.lit(None).cast("string").alias("finish_reason"))
     return g.unionByName(q)
 
 
@@ -108,7 +107,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "generations"), ["gen_id"], "ingested_at", ["tag", "output"])
+    return table(spark, sf_dir, "generations").filter("gen_id IS NOT NULL").select("gen_id", "tag", "output")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
