@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiscript.llm.common import bounded_rows, composed, crc, folded
+from lumiscript.llm.common import bounded_rows, bounded_sample, composed, crc, folded
 
 LANGS = ("vi", "en", "fr", "es", "zh", "ru")
 FAMILIES = ("vietic", "western", "sinitic", "slavic")
@@ -341,7 +341,7 @@ def fit_languages(samples: DataFrame, corpus: DataFrame | None = None, corpus_ro
     if corpus is None:
         return model
     own = corpus.select("id", "text", normal_label(F.col("lang")).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    more = own.orderBy(F.xxhash64("id"), "id").limit(corpus_rows).collect()
+    more = bounded_sample(own, "id", corpus_rows)
     found = model.segments([r.text for r in more])
     whole = found.groupby("row").agg(lang=("lang", "nunique"), first=("lang", "first"), margin=("margin", "min"))
     for i, n, lang, margin in zip(whole.index, whole["lang"], whole["first"], whole["margin"]):
