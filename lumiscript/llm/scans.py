@@ -12,7 +12,7 @@ a line end, words with glyphs that scanning confuses, and counts of all words
 * a word cut at a line end is joined where the whole is a known word and the
   hyphen isn't the word's own;
 * a line is a running header where its form, digits aside, or its opening,
-  comes back in several units;
+  comes back in several units (see ``header_lines``);
 * a bare number is a page number unless the line before it is the label of a
   table, that is, a line that mostly has a number after it.
 
@@ -39,9 +39,9 @@ from lumiscript.llm.common import checkpointed
 from lumiscript.llm.confusables import plain_text
 
 # What a scanner reads for a letter, and the letter.
-GLYPHS = (("rn", "m"), ("ri", "n"), ("li", "h"), ("cl", "d"), ("u'", "ư"), ("o'", "ơ"), ("e^", "ê"), ("o^", "ô"), ("a^", "â"), ("vv", "w"), ("ii", "u"), ("f", "t"), ("(", "c"), ("!", "i"), ("|", "l"), ("9", "g"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("$", "s"), ("€", "c"), ("¢", "c"))
+GLYPHS = (("rn", "m"), ("ri", "n"), ("li", "h"), ("cl", "đ"), ("cl", "d"), ("u'", "ư"), ("o'", "ơ"), ("e^", "ê"), ("o^", "ô"), ("a^", "â"), ("vv", "w"), ("ii", "u"), ("f", "t"), ("(", "c"), ("!", "i"), ("|", "l"), ("9", "g"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("$", "s"), ("€", "c"), ("¢", "c"))
 SUSPECT = re.compile(r"rn|ri|li|cl|u'|o'|[eoa]\^|vv|ii|[f(!|$€¢]|[^\W\d_][015689]|[015689][^\W\d_]")
-PAGE = re.compile(r"(?:trang|tr\.?|page|p\.)\s*\d{1,4}|[-—–·•~*]\s*\d{1,4}\s*[-—–·•~*]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|\d{1,4}\s*/\s*\d{1,4}", re.I)
+PAGE = re.compile(r"(?:trang|tr\.?|page|p\.)\s*(?:số\s*)?\d{1,4}(?:\s*/\s*\d{1,4})?|[-—–·•~*]\s*\d{1,4}\s*[-—–·•~*]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|\d{1,4}\s*/\s*\d{1,4}", re.I)
 BARE = re.compile(r"\d{1,4}")
 SUFFIX = re.compile(r"(?:\s{2,}|\s*\|\s*|\s+[-–—]\s+(?:tr\.?|trang)\s*)\d{1,4}$|^\d{1,4}(?:\s{2,}|\s*\|\s*)", re.I)
 HYPHEN = "-¬=‐‑\xad"
@@ -51,8 +51,12 @@ EDGE = re.compile(r"^[\"“”'‘’\[{«]+|[.,;:?\"”’)\]}»…]+$")
 MARKER = re.compile(r"\s*(?:\d{1,3}[.)]|[a-zđ]\)|[-•*+]\s|(?:điều|khoản|bước|chương|mục)\s+\d)", re.I)
 
 
-def headline(line: str) -> tuple[str, bool] | None:
-    """(form, has a page number) of a line that looks like a header; else None."""
+def headline(line: str) -> tuple[str, bool, bool] | None:
+    """(form, has a page number, is quiet) of a line that may be a header; else None.
+
+    Loud ones are in capitals or have every word in one. A quiet one only begins
+    with a capital, as lines of the text do; the corpus has to settle it.
+    """
     body = SUFFIX.sub("", line)
     flat = re.sub(r"\s+", " ", body).strip()
     words = LETTERS.findall(re.sub(r"(?<=[^\W\d_])0|0(?=[^\W\d_])", "O", flat))
@@ -61,14 +65,15 @@ def headline(line: str) -> tuple[str, bool] | None:
         return None
     loud = flat.upper() == flat
     title = all(w[0].isupper() and w[1:].lower() == w[1:] for w in words) and flat[-1] not in ".;,:" and (len(words) >= 4 or any(c.isdigit() for c in flat))
-    if not (loud or title):
+    quiet = not (loud or title)
+    if quiet and not (flat[0].isupper() and 3 <= len(words) <= 16 and flat[-1] not in ".;:,!?" + HYPHEN):
         return None
     form = re.sub(r"\d+", "#", re.sub(r"(?<=[^\W\d_])0|0(?=[^\W\d_])", "O", flat).upper())
-    return form, body.strip() != line.strip()
+    return form, body.strip() != line.strip(), quiet
 
 
 def layout(text: str) -> list[tuple[str, str]]:
-    """(kind, line) of each line: blank, page, bare, header, text; the kinds are candidates."""
+    """(kind, line) of each line: blank, page, bare, header (a loud one), text; the kinds are candidates."""
     out = []
     lines = text.split("\n")
     loud = sum(bool(x.strip()) and x.upper() == x for x in lines) > 0.5 * max(1, sum(bool(x.strip()) for x in lines))
@@ -80,7 +85,7 @@ def layout(text: str) -> list[tuple[str, str]]:
             out.append(("page", s))
         elif BARE.fullmatch(s):
             out.append(("bare", s))
-        elif not loud and headline(s):
+        elif not loud and (h := headline(s)) and not h[2]:
             out.append(("header", s))
         else:
             out.append(("text", line))
@@ -101,6 +106,8 @@ def read_text(text: str, words: Counter, labels: Counter, followed: Counter) ->
     lines = layout(plain_text(text))
     flow: list[tuple[str, bool]] = []  # tokens in reading order; True: joined over a line end
     open_part, spaced = "", False
+    waited: int = 0
+    passed: list[tuple[str, bool]] = []
     last = ""
     for kind, line in lines:
         if kind == "blank":
@@ -118,21 +125,30 @@ def read_text(text: str, words: Counter, labels: Counter, followed: Counter) ->
             last = line
             continue
         if kind == "header":
-            form, paged = headline(line)
+            form, paged, _ = headline(line)
             notes.append(("header", form, "paged" if paged else None, None))
             notes += [("odd", w.lower(), None, []) for w in line.split() if SUSPECT.search(w.lower()) and LETTERS.search(w)]
             continue
         tokens = line.split()
+        h = headline(line.strip())
+        if h and h[2]:
+            notes.append(("quiet", h[0], "paged" if h[1] else None, None))
         if len(tokens) <= 6:
             labels[label_form(line)] += 1
         last = line
         if open_part and tokens:
             right = tokens[0]
+            if h and h[2] and waited < 2:  # it may be a header inside the cut word
+                waited += 1
+                passed += [(t, False) for t in tokens]
+                continue
             if right[0].isalpha() and right[0].islower():
-                notes.append(("break", open_part[:-1].lower(), word_key(right), ["gap" if spaced else open_part[-1]]))
+                notes.append(("break", open_part[:-1].lower(), word_key(right), ["gap" if spaced or waited else open_part[-1]]))
                 flow[-1] = (open_part[:-1] + right, True)
                 tokens = tokens[1:]
             open_part = ""
+        flow += passed
+        waited, passed = 0, []
         flow += [(t, False) for t in tokens]
         spaced = len(tokens) > 1 and len(tokens[-1]) == 1 and tokens[-1] in HYPHEN and tokens[-2][-1].isalpha()
         if spaced:  # a gap before the hyphen
@@ -143,6 +159,7 @@ def read_text(text: str, words: Counter, labels: Counter, followed: Counter) ->
             left = LETTERS.findall(open_part[:-1])
             if not left or open_part[:-1].isupper() and len(open_part) > 2:
                 open_part = ""
+    flow += passed
     keys = [word_key(t) for t, _ in flow]
     for (t, joined), k in zip(flow, keys):
         if not joined and k:
@@ -242,13 +259,20 @@ def corrections(notes: DataFrame, links: DataFrame, vectors: DataFrame, keys: li
     return scored.groupBy(*keys, "token").agg(F.max_by("word", F.struct("score", "word_n", "word")).alias("word"))
 
 
-def header_forms(notes: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """Forms, and openings of two words, that come back in ``least`` units or more."""
-    rows = notes.filter("kind = 'header'").select(*keys, F.col("a").alias("form")).distinct()
-    opening = F.concat_ws(" ", F.slice(F.split("form", " "), 1, 2))
-    forms = rows.groupBy("form").count().filter(F.col("count") >= least).select("form")
-    openings = rows.groupBy(opening.alias("opening")).count().filter(F.col("count") >= least).select("opening")
-    return forms, openings
+def header_lines(notes: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, form, paged: the running headers.
+
+    A loud line is one where its form or its opening (two words) is that of
+    loud lines in ``least`` units. A quiet line is one where its form is that of
+    such a loud line, or where it has no number, its opening is theirs, and its
+    form comes back in as many units or has a page number.
+    """
+    rows = notes.filter(F.col("kind").isin("header", "quiet")).select(*keys, "kind", F.col("a").alias("form"), F.col("b").alias("paged"), F.concat_ws(" ", F.slice(F.split("a", " "), 1, 2)).alias("opening")).distinct()
+    count = lambda kind, c, to: rows.filter(F.col("kind").isin(*kind)).select(*keys, c).distinct().groupBy(c).agg(F.count("*").alias(to)).filter(F.col(to) >= least)
+    rows = rows.join(count(("header",), "form", "n_loud"), "form", "left").join(count(("header", "quiet"), "form", "n_form"), "form", "left").join(count(("header",), "opening", "n_opening"), "opening", "left")
+    loud = F.col("n_loud").isNotNull() | F.col("n_opening").isNotNull()
+    quiet = F.col("n_loud").isNotNull() | (F.col("n_opening").isNotNull() & ~F.contains("form", F.lit("#")) & (F.col("n_form").isNotNull() | F.col("paged").isNotNull()))
+    return rows.filter(F.when(F.col("kind") == "header", loud).otherwise(quiet)).select(*keys, "form", "paged").distinct()
 
 
 def noise(df: DataFrame, keys: list[str], text: str = "text", least: int = 3) -> dict[str, DataFrame]:
@@ -267,9 +291,7 @@ def noise(df: DataFrame, keys: list[str], text: str = "text", least: int = 3) ->
     joined = F.col("n_whole").isNotNull() | (F.col("h") != "gap") & (F.col("n_l").isNull() | F.col("n_r").isNull())
     breaks = cut.filter(joined & F.col("hyphened").isNull()).select(*keys, "l", "r", "h").distinct()
     # Furniture.
-    forms, openings = header_forms(notes, keys, least)
-    headers = notes.filter("kind = 'header'").select(*keys, F.col("a").alias("form"), F.col("b").alias("paged"), F.concat_ws(" ", F.slice(F.split("a", " "), 1, 2)).alias("opening"))
-    headers = headers.join(forms.withColumn("by_form", F.lit(True)), "form", "left").join(openings.withColumn("by_opening", F.lit(True)), "opening", "left").filter("by_form OR by_opening").select(*keys, "form", "paged").distinct()
+    headers = header_lines(notes, keys, least)
     count = lambda kind, to: notes.filter(F.col("kind") == kind).groupBy(F.col("a").alias("form")).agg(F.sum("n").alias(to))
     tables = count("followed", "n_f").join(count("label", "n_l"), "form", "left").filter((F.col("n_f") >= least) & (2 * F.col("n_f") >= F.coalesce("n_l", F.lit(0)))).select("form")
     bare = notes.filter("kind = 'bare'").select(*keys, F.col("a").alias("line"), F.col("b").alias("form")).join(tables, "form", "left_anti").select(*keys, "line")
@@ -295,7 +317,7 @@ def reflowed(text: str, breaks: set, headers: set, pages: list, fixes: dict) ->
     kept: list[str] = []
     for kind, line in layout(plain_text(text)):
         s = line.strip()
-        if kind == "header" and headline(s)[0] in headers:
+        if kind in ("header", "text") and headers and (h := headline(s)) and h[0] in headers:
             continue
         if kind in ("page", "bare") and left[s] > 0:
             left[s] -= kind == "bare"
