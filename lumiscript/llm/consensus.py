@@ -25,7 +25,7 @@ has no row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from lumiscript.llm.common import bounded_rows, checkpointed
 
 CENTRE, SPREAD = 2.0, 1.0  # prior of the abilities
-EASE_SPREAD = 0.5  # prior of the logarithm of the ease
+#: Prior of the logarithm of the ease; an item has few judgements, so it is tight.
+EASE_SPREAD = 0.15
 
 
 def annotator_name(c: Column) -> Column:
@@ -59,6 +60,7 @@ class Abilities:
     exclusive: np.ndarray  # by code
     ability: np.ndarray  # annotator, code, state
     prior: np.ndarray  # by code
+    ease_spread: float = EASE_SPREAD
 
 
 def posteriors(m: Abilities, item: np.ndarray, code: np.ndarray, who: np.ndarray, vote: np.ndarray, steps: int = 3):
@@ -92,7 +94,7 @@ def posteriors(m: Abilities, item: np.ndarray, code: np.ndarray, who: np.ndarray
             qv = q[pair]
             g = qv * (vote - p1) * a1 * e + (1 - qv) * ((1 - vote) - p0) * a0 * e
             h = qv * p1 * (1 - p1) * (a1 * e) ** 2 + (1 - qv) * p0 * (1 - p0) * (a0 * e) ** 2
-            step = (np.add.reduceat(g, start) - log_ease / EASE_SPREAD**2) / (np.add.reduceat(h, start) + 1 / EASE_SPREAD**2)
+            step = (np.add.reduceat(g, start) - log_ease / m.ease_spread**2) / (np.add.reduceat(h, start) + 1 / m.ease_spread**2)
             log_ease = np.clip(log_ease + np.clip(step, -0.5, 0.5), -1.5, 1.5)
     return start, pair, q, np.exp(log_ease)
 
@@ -103,14 +105,14 @@ def whole(batches) -> pd.DataFrame | None:
     return pd.concat(parts, ignore_index=True) if parts else None
 
 
-def prepared(votes: DataFrame, exclusive_tag: str | None, max_annotators: int) -> tuple[DataFrame, Abilities]:
+def prepared(votes: DataFrame, exclusive_tag: str | None, max_annotators: int, ease_spread: float = EASE_SPREAD) -> tuple[DataFrame, Abilities]:
     counts = votes.groupBy("annotator", "code", (F.col("tag").eqNullSafe(F.lit(exclusive_tag))).alias("x")).agg(F.avg(F.col("vote").cast("double")).alias("rate"), F.count("*").alias("n"))
     rows = bounded_rows(counts, max_annotators, "the table of annotators and codes")
     who, codes = sorted({r.annotator for r in rows}), sorted({r.code for r in rows})
     exclusive = np.array([any(r.x for r in rows if r.code == c) for c in codes], bool)
     n = np.array([sum(r.n for r in rows if r.code == c) for c in codes], float)
     prior = np.array([sum(r.n * r.rate for r in rows if r.code == c) for c in codes]) / np.maximum(n, 1)
-    model = Abilities(who, codes, exclusive, np.full((len(who), len(codes), 2), CENTRE), np.clip(prior, 0.01, 0.99))
+    model = Abilities(who, codes, exclusive, np.full((len(who), len(codes), 2), CENTRE), np.clip(prior, 0.01, 0.99), ease_spread)
     # Numbers instead of names, from maps whose size the check above bounds.
     spark = votes.sparkSession
     small = lambda names, key, no: F.broadcast(spark.createDataFrame(pd.DataFrame({key: pd.Series(names, dtype="object"), no: np.arange(len(names), dtype=np.int64)}), f"{key} string, {no} bigint"))
@@ -165,20 +167,20 @@ def fit_abilities(rows: DataFrame, model: Abilities, passes: int = 15, tolerance
                 new[r.k] += np.clip(step, -1.0, 1.0)
         new = np.clip(new, -6, 8).reshape(shape)
         change = np.abs(new - model.ability).max()
-        model = Abilities(model.annotators, model.codes, model.exclusive, new, prior)
+        model = replace(model, ability=new, prior=prior)
         if change < tolerance:
             break
     return model
 
 
-def consensus(labels: DataFrame, exclusive_tag: str | None = "qa", max_annotators: int = 200_000, passes: int = 15) -> tuple[DataFrame, DataFrame]:
+def consensus(labels: DataFrame, exclusive_tag: str | None = "qa", max_annotators: int = 200_000, passes: int = 15, ease_spread: float = EASE_SPREAD) -> tuple[DataFrame, DataFrame]:
     """(labels of items, reliability of annotators).
 
     The first: id, tag, code, posterior, difficulty, n_votes, holds. The second:
     annotator, code, sensitivity, specificity (at an item of mean ease).
     """
     votes = judgements(labels)
-    rows, model = prepared(votes, exclusive_tag, max_annotators)
+    rows, model = prepared(votes, exclusive_tag, max_annotators, ease_spread)
     model = fit_abilities(rows, model, passes)
     spark = labels.sparkSession
     bc = spark.sparkContext.broadcast(model)
