@@ -28,6 +28,25 @@ LATIN1_SIGNS = r"\x{A0}-\x{BF}"
 WORDS = r"[\p{L}\p{Nl}\p{No}]+"
 
 
+def char_class(chars: str) -> str:
+    """The inside of a character class with runs of code points as ranges, which match far faster than single ones."""
+    runs: list[list[int]] = []
+    for c in sorted({ord(x) for x in chars}):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in runs)
+
+
+MARKED_CLASS = char_class(MARKED + MARKED.upper())
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body, or a lambda in it, refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
@@ -69,8 +88,8 @@ def collapse(text: Column) -> Column:
 
 def diacritic_ratio(text: Column) -> Column:
     """Marked letters among the letters; 0 without letters."""
-    marked = F.length(F.regexp_replace(text, f"[^{MARKED}{MARKED.upper()}]", ""))
-    return F.coalesce(F.try_divide(marked.cast("double"), F.length(F.regexp_replace(text, r"\P{L}", ""))), F.when(text.isNotNull(), 0.0))
+    marked = F.length(F.regexp_replace(text, f"[^{MARKED_CLASS}]+", ""))
+    return F.coalesce(F.try_divide(marked.cast("double"), F.length(F.regexp_replace(text, r"\P{L}+", ""))), F.when(text.isNotNull(), 0.0))
 
 
 def demojibake(text: Column) -> Column:
@@ -86,7 +105,7 @@ def mojibake_hits(text: Column) -> Column:
     fixed = demojibake(text)
     gain = fixed.isNotNull() & (diacritic_ratio(fixed) > diacritic_ratio(text) + 0.02)
     none = F.array().cast("array<string>")
-    marked = f"{MARKED}{MARKED.upper()}{BROKEN_LEAD}"
+    marked = f"{MARKED_CLASS}{BROKEN_LEAD}"
     return F.array_distinct(F.concat(
         F.when(n > 0, F.array(F.concat(F.lit("U+FFFD x"), n.cast("string")))).otherwise(none),
         every(r"[\p{Cc}&&[^\t\n\r]]", "ctrl "),
@@ -126,9 +145,12 @@ def most_frequent(sorted_items: Column) -> Column:
 
 def max_ngram_repeat(text: Column, n: int = 5) -> Column:
     """Share of the most frequent n-gram; 0 under 2n words."""
-    tokens = words(F.lower(text))
-    grams = F.array_sort(ngrams(tokens, n))
-    return F.when(F.size(tokens) >= 2 * n, most_frequent(grams).cast("double") / F.size(grams)).otherwise(0.0)
+
+    def share(tokens: Column) -> Column:
+        grams = F.array_sort(ngrams(tokens, n))
+        return F.when(F.size(tokens) >= 2 * n, most_frequent(grams).cast("double") / (F.size(tokens) - (n - 1))).otherwise(0.0)
+
+    return let(words(F.lower(text)), share)
 
 
 def stripped_lines(text: Column) -> Column:
@@ -138,8 +160,8 @@ def stripped_lines(text: Column) -> Column:
 
 def max_line_repeat(text: Column, least: int = 5) -> Column:
     """Share of the most frequent non-blank line; 0 under ``least`` lines."""
-    lines = F.array_sort(stripped_lines(text))
-    return F.when(F.size(lines) >= least, most_frequent(lines).cast("double") / F.size(lines)).otherwise(0.0)
+    share = lambda lines: F.when(F.size(lines) >= least, most_frequent(lines).cast("double") / F.size(lines)).otherwise(0.0)
+    return let(F.array_sort(stripped_lines(text)), share)
 
 
 def looks_truncated(text: Column) -> Column:
@@ -151,18 +173,21 @@ def looks_truncated(text: Column) -> Column:
 ONSETS = "nghi ngh ch gh gi kh ng nh ph qu th tr b c d đ g h k l m n p r s t v x".split()
 VOWELS = "aàáảãạăằắẳẵặâầấẩẫậeèéẻẽẹêềếểễệiìíỉĩịoòóỏõọôồốổỗộơờớởỡợuùúủũụưừứửữựyỳýỷỹỵ"
 CODAS = "ch ng nh c m n p t".split()
-SYLLABLE = f"(?iu)^(?:{'|'.join(ONSETS)})?[{VOWELS}]{{1,3}}(?:{'|'.join(CODAS)})?$"
+SYLLABLE = f"^(?:{'|'.join(ONSETS)})?[{VOWELS}]{{1,3}}(?:{'|'.join(CODAS)})?$"
+#: The same for lower-case words, with the vowels as ranges.
+LOWER_SYLLABLE = SYLLABLE.replace(VOWELS, char_class(VOWELS + "".join(map(chr, range(0x1EA0, 0x1EFA)))))
 MAX_SYLLABLE = 7
 
 
 def is_syllable(word: Column) -> Column:
-    return (F.length(word) <= MAX_SYLLABLE) & word.rlike(SYLLABLE)
+    """Whatever its case; the length is looked at first."""
+    return (F.length(word) <= MAX_SYLLABLE) & F.lower(word).rlike(LOWER_SYLLABLE)
 
 
 def glue_ratio(text: Column) -> Column:
     """Share of the words that are no syllables; 0 without words."""
-    w = words(text)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: ~is_syllable(F.lower(x)))).cast("double") / F.size(w)).otherwise(0.0)
+    share = lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: ~is_syllable(x))).cast("double") / F.size(w)).otherwise(0.0)
+    return let(words(text), share)
 
 
 # Lines that address a machine reader or advertise, lines that repeat in gazettes.
@@ -284,8 +309,7 @@ def procedure_text(doc_id: Column, ma: Column, ten: Column, text: Column) -> Col
 
 def bm25_tokens(text: Column) -> Column:
     """Words in lower case, then the folded forms that differ."""
-    w = F.transform(words(text), lambda x: F.lower(x))
-    return F.concat(w, F.filter(F.transform(w, lambda x: F.nullif(fold(x), x)), lambda x: x.isNotNull()))
+    return let(words(F.lower(text)), lambda w: F.concat(w, F.filter(F.transform(w, lambda x: F.nullif(fold(x), x)), lambda x: x.isNotNull())))
 
 
 # Pairs of administrative terms that are easily confused, term by term.
@@ -293,8 +317,7 @@ CONFUSED = ("cấp đổi", "cấp lại", "tạm giữ", "tước quyền sử
 
 
 def confusion_terms(text: Column) -> Column:
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(x) for x in CONFUSED]), lambda p: F.contains(low, p))
+    return let(F.lower(text), lambda low: F.filter(F.array(*[F.lit(x) for x in CONFUSED]), lambda p: F.contains(low, p)))
 
 
 def chunks(text: Column, low: int = 200, high: int = 4000) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumiscript.functions.text import is_syllable, question_hash, strip, words
+from lumiscript.functions.text import is_syllable, let, question_hash, strip, words
 
 QUESTION_TYPES = ("muc_phat", "thu_tuc", "y_nghia_bien_bao", "dieu_kien")
 DIFFICULTIES = ("single_hop", "multi_hop")
@@ -28,7 +28,9 @@ def corpus_check(articles: DataFrame, thin: int = 80) -> DataFrame:
     small as its numbering, however often its articles were delivered.
     """
     length = F.coalesce(F.length("text"), F.lit(0))
-    per = articles.groupBy("doc_id", "dieu").agg(F.count("*").alias("n"), F.count_if(length < thin).alias("thin"), F.sum(length).alias("chars"), F.sum(F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("bigint")).alias("words"), F.sum(F.coalesce(F.size(F.filter(words(F.col("text")), lambda x: ~is_syllable(F.lower(x)))), F.lit(0)).cast("bigint")).alias("odd"))
+    sizes = let(words(F.coalesce("text", F.lit(""))), lambda w: F.struct(F.size(w).cast("bigint").alias("w"), F.size(F.filter(w, lambda x: ~is_syllable(x))).cast("bigint").alias("odd")))
+    rows = articles.select("doc_id", "dieu", "text", sizes.alias("_s")).select("doc_id", "dieu", "text", F.col("_s.w").alias("_w"), F.col("_s.odd").alias("_odd"))
+    per = rows.groupBy("doc_id", "dieu").agg(F.count("*").alias("n"), F.count_if(length < thin).alias("thin"), F.sum(length).alias("chars"), F.sum("_w").alias("words"), F.sum("_odd").alias("odd"))
     number = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("dieu", r"^(\d{1,6})", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0))
     g = per.groupBy("doc_id").agg(F.sum("n").alias("n_articles"), F.count_if(F.col("n") > 1).alias("n_dups"), F.sum("thin").alias("n_thin"), F.min(number).alias("low"), F.max(number).alias("high"), F.countDistinct(number).alias("n_numbers"), F.round(F.sum("chars") / F.sum("n"), 1).alias("avg_chars"), F.round(F.coalesce(F.try_divide(F.sum("odd").cast("double"), F.sum("words")), F.lit(0.0)), 3).alias("glue_ratio"))
     return g.withColumn("n_gaps", (F.col("high") - F.col("low") + 1 - F.col("n_numbers")).cast("bigint")).drop("n_numbers")
