@@ -192,12 +192,12 @@ def glue_ratio(text: Column) -> Column:
 
 # Lines that address a machine reader or advertise, lines that repeat in gazettes.
 INJECTED = (
-    r"(?im)^.*(?:QUAN TRỌNG|IMPORTANT|LƯU Ý HỆ THỐNG)\s*:.*(?:hãy|phải|bạn cần|you must|always).*$",
-    r"(?im)^.*(?:system prompt|ignore (?:all )?previous|bỏ qua (?:mọi )?hướng dẫn|trợ lý AI).*$",
-    r"(?im)^.*(?:vui lòng (?:đăng nhập|đăng ký)|tiện ích dành cho tài khoản|gói cước).*$",
+    r"(?imu)^.*(?:QUAN TRỌNG|IMPORTANT|LƯU Ý HỆ THỐNG)\s*:.*(?:hãy|phải|bạn cần|you must|always).*$",
+    r"(?imu)^.*(?:system prompt|ignore (?:all )?previous|bỏ qua (?:mọi )?hướng dẫn|trợ lý AI).*$",
+    r"(?imu)^.*(?:vui lòng (?:đăng nhập|đăng ký)|tiện ích dành cho tài khoản|gói cước).*$",
 )
 HASH_LINE = r"(?m)^\s*#.*$"
-GAZETTE = (r"(?m)^\s*\d{1,4}\s*$", r"(?im)^\s*CÔNG BÁO\s*/.*$", r"(?im)^\s*QCVN\s*41:2024/BGTVT\s*$")
+GAZETTE = (r"(?m)^\s*\d{1,4}\s*$", r"(?imu)^\s*CÔNG BÁO\s*/.*$", r"(?imu)^\s*QCVN\s*41:2024/BGTVT\s*$")
 
 
 def squeeze(text: Column) -> Column:
@@ -229,7 +229,7 @@ NAVIGATION = (
     r"(?:In trang|Chia sẻ|Gửi email|Lưu|Đánh giá).*",
 )
 NAVIGATION_LINE = r"(?iu)^\s*(?:" + "|".join(NAVIGATION) + ")$"
-TAIL = r"(?ims)^[ \t]*Nơi nhận[ \t]*:.*"
+TAIL = r"(?imsu)^[ \t]*Nơi nhận[ \t]*:.*"
 
 
 def clean_pasted(text: Column) -> Column:
@@ -247,7 +247,7 @@ def clean_pasted(text: Column) -> Column:
 
 
 # Fixed value: lines of an electronic signature.
-SIGNATURE = r"(?im)^.*(?:Người ký|Thời gian ký|Email:|Cơ quan:)\s*:?.*$"
+SIGNATURE = r"(?imu)^.*(?:Người ký|Thời gian ký|Email:|Cơ quan:)\s*:?.*$"
 
 
 def chars_per_page(text: Column, pages: Column) -> Column:

@@ -85,6 +85,8 @@ JUDGED = f"""SELECT id, split_part(tag, '@', 1) AS model, coalesce(nullif(regexp
  FROM {ONCE_GEN} WHERE output IS NOT NULL GROUP BY ALL"""
 PAIRS = f"""WITH j AS MATERIALIZED ({JUDGED}), p AS (SELECT c.id, c.model, c.precision, r.ok AS ref, c.ok AS cmp, r.pred AS ref_pred, c.pred AS cmp_pred
  FROM j c JOIN j r ON c.id = r.id AND c.model = r.model AND r.precision = 'bf16' WHERE c.precision <> 'bf16')"""
+SIGN = r"(?:^|[^\p{L}\p{N}_])([PBWRISDE]\.\d{1,3}[a-z]?)(?:[^\p{L}\p{N}_]|$)"
+SPLIT_WORD = lambda t, a, b, w: f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}_]){a}{SPACE}+{b}($|[^\\p{{L}}\\p{{N}}_])', '\\1{w}\\2', 'g')"
 #: erfc(x) of x >= 0 by the same series of positive terms.
 ERFC = "(1 - least(1.0, 1.1283791670955126 * exp(-least({x}, 6.0) * least({x}, 6.0)) * list_sum(list_transform(range(0, 241), lambda n: exp(n * ln(2) + (2 * n + 1) * ln(greatest(least({x}, 6.0), 1e-300)) - (lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1)))))))"
 TESTS = f"""{PAIRS}, g AS (SELECT model, precision, count(*) AS n, avg(CAST(ref AS INT)) AS acc_ref, avg(CAST(cmp AS INT)) AS acc, count(*) FILTER (ref AND NOT cmp) AS b, count(*) FILTER (cmp AND NOT ref) AS c FROM p GROUP BY ALL),
@@ -131,6 +133,18 @@ SQL = {
  h AS (SELECT gen_id, word, pos FROM t JOIN s ON lower(word) = token)
  SELECT gen_id, count(*) AS n_tokens, arg_min(word, pos) AS first_token, arg_max(word, pos) AS last_token FROM h GROUP BY gen_id""",
     "glue_ratio_by_source": f"SELECT source, count(*) AS n, round(avg({glue('text')}), 6) AS mean_glue, round(max({glue('text')}), 6) AS max_glue FROM documents GROUP BY source",
+    "clean_pdf": "SELECT unit_id, " + strip(SPLIT_WORD(SPLIT_WORD(r"""regexp_replace(regexp_replace(replace(
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*#.*$', '', 'g'),
+ '(?im)^.*(?:QUAN TRỌNG|IMPORTANT|LƯU Ý HỆ THỐNG)\s*:.*(?:hãy|phải|bạn cần|you must|always).*$', '', 'g'), '(?im)^.*(?:system prompt|ignore (?:all )?previous|bỏ qua (?:mọi )?hướng dẫn|trợ lý AI).*$', '', 'g'),
+ '(?im)^.*(?:vui lòng (?:đăng nhập|đăng ký)|tiện ích dành cho tài khoản|gói cước).*$', '', 'g'), '(?m)^\s*\d{1,4}\s*$', '', 'g'), '(?im)^\s*CÔNG BÁO\s*/.*$', '', 'g'), '(?im)^\s*QCVN\s*41:2024/BGTVT\s*$', '', 'g'),
+ chr(173), ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')""", "Đi", "ều", "Điều"), "kho", "ản", "khoản")) + f" AS text FROM {ONCE_ART} WHERE text IS NOT NULL",
+    "parse_articles": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT *, regexp_matches(line, '^\\s*Điều\\s+\\d') AS head, {strip('line')} AS s FROM l), a AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY ln) AS art FROM h),
+ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, art, s <> '' AND NOT head ORDER BY ln) AS k, max(CASE WHEN head AND regexp_matches(line, '^\\s*Điều\\s+\\d+[a-zA-Z]?\\s*[.．:]?\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, art) AS spill FROM a WHERE art > 0),
+ c AS (SELECT *, NOT head AND s <> '' AND NOT (spill = 1 AND k = 1) AS body FROM b), d AS (SELECT *, body AND regexp_matches(s, '^\\d+[ \\t]*[.．)][ \\t]+\\S') AS clause, body AND regexp_matches(s, '^[a-zđ][ \\t]*[.．)][ \\t]+\\S') AS point FROM c),
+ e AS (SELECT *, sum(CAST(clause AS INT)) OVER (PARTITION BY doc_id, art ORDER BY ln) AS before FROM d)
+ SELECT doc_id, CAST(art - 1 AS BIGINT) AS ord, max(CASE WHEN head THEN regexp_extract(line, 'Điều\\s+(\\d+[a-zA-Z]?)', 1) END) AS dieu, count(*) FILTER (clause) AS n_clauses, count(*) FILTER (point AND before > 0) AS n_points,
+ CAST(len(list_distinct(coalesce(flatten(list(regexp_extract_all(s, '{SIGN}', 1)) FILTER (body)), []))) AS BIGINT) AS n_signs FROM e GROUP BY doc_id, art""",
     "mojibake_counts": f"""WITH t AS (SELECT gen_id, output FROM {ONCE_GEN} WHERE output IS NOT NULL)
  SELECT gen_id, CAST(len(list_distinct(regexp_extract_all(output, '[{MARKED}{MARKED.upper()}{BROKEN_LEAD}][\\x{{A0}}-\\x{{BF}}]'))) AS BIGINT) AS n_bigrams, CAST(len(list_distinct(regexp_extract_all(output, '[{BROKEN_LEAD}][\\x{{A0}}-\\x{{BF}}\\x{{80}}-\\x{{9F}}]'))) AS BIGINT) AS n_leads,
  CAST(CASE WHEN contains(output, chr(65533)) THEN 1 ELSE 0 END AS BIGINT) AS has_replacement, CAST(len(regexp_extract_all(output, '{FOREIGN}')) AS BIGINT) AS n_foreign FROM t""",
@@ -196,6 +210,10 @@ SQL = {
     "flip_rates": f"{PAIRS} SELECT model, precision, count(*) AS n, count(*) FILTER (ref_pred <> cmp_pred) AS n_flip, round(count(*) FILTER (ref_pred <> cmp_pred) / CAST(count(*) AS DOUBLE), 6) AS flip_rate FROM p GROUP BY model, precision",
     "flip_directions": f"{PAIRS}, d AS (SELECT model, ref_pred || '->' || cmp_pred AS direction, count(*) AS n FROM p WHERE ref_pred <> cmp_pred GROUP BY ALL) SELECT model, direction, n, CAST(row_number() OVER (PARTITION BY model ORDER BY n DESC, direction) AS INT) AS rank FROM d QUALIFY rank <= 10",
     "flip_by_group": f"{PAIRS} SELECT model AS grp, count(*) AS n, count(*) FILTER (ref_pred <> cmp_pred) AS n_flip, round(round_even(count(*) FILTER (ref_pred <> cmp_pred) / CAST(count(*) AS DOUBLE), 4), 6) AS flip_rate FROM p GROUP BY model HAVING count(*) >= 30",
+    "proxy_validation": f"""{PAIRS}, g AS (SELECT model, precision, count(*) AS n, count(*) FILTER (ref_pred = 'A' AND cmp_pred <> 'A') AS d, count(*) FILTER (ref_pred <> 'A' AND cmp_pred = 'A') AS u, avg(CAST(ref_pred = 'A' AS INT)) AS acc FROM p GROUP BY ALL),
+ h AS (SELECT *, coalesce(d / CAST(nullif(d + u, 0) AS DOUBLE), 0.0) AS share, coalesce(acc / nullif(acc + (1 - acc) / 3, 0), 1.0) AS x FROM g),
+ t AS (SELECT *, CASE WHEN d + u = 0 OR d = 0 OR x >= 1 THEN 1.0 WHEN x <= 0 THEN 0.0 ELSE least(1.0, list_sum(list_transform(range(d, d + u + 1), lambda i: exp(lgamma(d + u + 1) - lgamma(i + 1) - lgamma(d + u - i + 1) + i * ln(x) + (d + u - i) * ln(1 - x))))) END AS p FROM h)
+ SELECT model, precision, n, d AS flip_down, u AS flip_up, round(share, 6) AS harmful_share, round(x, 6) AS harmful_expected, round(p, 6) AS p_value, CASE WHEN d + u < 20 THEN 'too few changes' WHEN p < 0.05 THEN 'more harmful than random' ELSE 'no more harmful than random' END AS verdict FROM t""",
     "sampling_error": f"WITH g AS (SELECT model, CAST(count(*) AS DOUBLE) AS n FROM ({JUDGED}) GROUP BY model) SELECT model, round(1.96 * sqrt(0.25 / floor(n / 3)) * CASE WHEN n > 1 THEN sqrt((n - floor(n / 3)) / (n - 1)) ELSE 1.0 END, 6) AS margin, round(1.959963985 * sqrt(0.25 / n), 6) AS detectable FROM g",
     "latency_summary": """WITH e AS (SELECT event_type, round(value, 3) AS f, round(value * 3 + 50, 3) AS t, event_id % 50 + 2 AS k FROM events WHERE value IS NOT NULL),
  x AS (SELECT *, (t - f) / (k - 1) AS tpot, (k - 1) / (greatest(t - f, 1e-6) / 1000) AS tps, row_number() OVER (PARTITION BY event_type ORDER BY f) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM e)
