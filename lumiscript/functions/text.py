@@ -321,14 +321,26 @@ def confusion_terms(text: Column) -> Column:
 
 
 def chunks(text: Column, low: int = 200, high: int = 4000) -> Column:
-    """Calibration chunks: split before each article head, or else on blank lines; blanks collapsed; short ones dropped, long ones cut at the last full stop within the bounds."""
+    """Calibration chunks: split before each article head, or else on blank lines; blanks collapsed.
+
+    What is over ``high`` characters is cut, again and again, at the last full
+    stop between the bounds, or else at ``high``; what is under ``low`` is dropped.
+    """
     heads = F.split(text, r"(?m)(?=^\s*Điều\s+\d)")
     parts = F.when(F.size(heads) >= 3, heads).otherwise(F.split(text, r"\n\s*\n"))
     flat = F.filter(F.transform(parts, lambda p: strip(collapse(p))), lambda p: F.length(p) >= low)
 
-    def cut(p: Column) -> Column:
-        whole = F.left(p, F.lit(high))
-        at = F.length(whole) - F.instr(F.reverse(whole), " .")
-        return F.when(F.length(p) <= high, p).when((F.instr(F.reverse(whole), " .") > 0) & (at > low), F.left(whole, at)).otherwise(whole)
+    def step(s: Column, _: Column) -> Column:
+        rest = s["rest"]
+        window = F.substr(rest, F.lit(low + 1), F.lit(high - low))
+        back = F.instr(F.reverse(window), " .")
+        cut = F.when(back > 0, low + F.length(window) - back).otherwise(F.lit(high))
+        more = F.struct(strip(F.substr(rest, cut + 1)).alias("rest"), F.concat(s["out"], F.array(strip(F.left(rest, cut)))).alias("out"))
+        last = F.struct(F.lit("").alias("rest"), F.when(F.length(rest) >= low, F.concat(s["out"], F.array(rest))).otherwise(s["out"]).alias("out"))
+        return F.when(F.length(rest) > high, more).otherwise(last)
+
+    def pieces(p: Column) -> Column:
+        zero = F.struct(p.alias("rest"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(p) / low).cast("int")), zero, step, lambda s: s["out"])
 
-    return F.transform(flat, cut)
+    return F.flatten(F.transform(flat, pieces))

@@ -121,6 +121,11 @@ def has_answer(frame: DataFrame) -> Column:
     return i.isNotNull() & (i >= 0)
 
 
+def answerable(frame: DataFrame, split: str = "split") -> DataFrame:
+    """split, n, n_answered: how many items of each split have a right choice."""
+    return frame.withColumn("_h", has_answer(frame)).groupBy(split).agg(F.count("*").alias("n"), F.count_if(F.coalesce("_h", F.lit(False))).alias("n_answered"))
+
+
 def item_prompt(frame: DataFrame) -> Column:
     c = choices(frame)
     letters = F.array(*[F.lit(x) for x in LETTERS])

@@ -106,11 +106,30 @@ def test_triage(spark):
     assert [r[0] for r in df.select(T.triage(F.col("t"), F.col("p"))).collect()] == ["CLEAN", "SCAN", "GLUED"]
 
 
+def plain_chunks(text, low=200, high=4000):
+    parts = re.split(r"(?m)(?=^\s*Điều\s+\d)", text)
+    if len(parts) < 3:
+        parts = re.split(r"\n\s*\n", text)
+    out = []
+    for p in (re.sub(r"\s+", " ", x).strip() for x in parts):
+        if len(p) < low:
+            continue
+        while len(p) > high:
+            at = p.rfind(". ", low, high)
+            cut = at + 1 if at >= 0 else high
+            out.append(p[:cut].strip())
+            p = p[cut:].strip()
+        if len(p) >= low:
+            out.append(p)
+    return out
+
+
 def test_chunks(spark):
     body = "nội dung " * 40
     text = "".join(f"Điều {i}. {body}\n" for i in range(1, 5)) + "Điều 5. ngắn\n"
-    got = apply(spark, T.chunks(F.col("t")), [text, f"{body}\n\n{body}", "x" * 5000])
-    assert len(got[0]) == 4 and all(c.startswith("Điều") for c in got[0]) and len(got[1]) == 2 and len(got[2][0]) == 4000
+    long_ = " ".join(f"Câu số {i} của văn bản dài." for i in range(900))
+    texts = [text, f"{body}\n\n{body}", "x" * 9000, long_, long_ + "\n\n" + text, "", "ngắn. "]
+    assert apply(spark, T.chunks(F.col("t")), texts) == [plain_chunks(t) for t in texts]
 
 
 def test_segment(spark):
