@@ -6,39 +6,20 @@ columns, even ones that clash with an operator's own names, never reach it.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The eight combining marks of Vietnamese in decomposed text.
 MARKS = "̛̣̀́̃̉̂̆"
-WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"\w+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def latest(df: DataFrame, keys: list[str], at: str, cols: list[str]) -> DataFrame:
-    """One row per key: the one that arrived last, ties by content; ``max_by`` combines map-side.
-
-    Rows with a null key are no records and drop out.
-    """
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    body = F.struct(*[F.col(c).alias(c) for c in cols])
-    order = F.struct(F.col(at), F.xxhash64(*cols))
-    kept = df.filter(present).groupBy(*keys).agg(F.max_by(body, order).alias("_row"))
-    return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols])
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder that the cluster names; sets one only where none is set."""
     sc = df.sparkSession.sparkContext
@@ -93,12 +74,6 @@ def fold_table() -> dict[int, str]:
 FOLD = fold_table()
 
 
-def strip_marks(text):
-    """Column: Latin letters without their marks, in the JVM."""
-    one = {chr(c): p for c, p in FOLD.items() if p and len(p) == 1}
-    return F.translate(text, "".join(one) + MARKS, "".join(one.values()))
-
-
 def folded(text: str) -> str:
     return text.lower().translate(FOLD)
 
@@ -108,12 +83,3 @@ def composed(text: str | None) -> str:
     if not text or unicodedata.is_normalized("NFC", text):
         return text or ""
     return unicodedata.normalize("NFC", text)
-
-
-def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of consecutive runs of these lengths."""
-    ends = np.cumsum(lengths)
-    return ends - lengths, ends
-
-
-STRING = T.StringType()
