@@ -102,6 +102,18 @@ def test_cut_off(spark):
     assert cutoff.cut_off(df.limit(0)).count() == 0
 
 
+def test_recurring_torn_endings(spark):
+    """A torn ending in many texts, or in copies of one, is no closing phrase; one of whole words is."""
+    texts = corpus()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, t + " Mức phạ") for i, t in enumerate(texts[:8])] + [(1100 + i, t + " Ngườ") for i, t in enumerate(texts[:8])]
+    rows += [(1200 + i, texts[9] + " Riêng giấy phép xây dựng nộp hồ sơ của") for i in range(8)]
+    rows += [(2000 + i, t + "\nKính chào xã") for i, t in enumerate(texts[:8])]
+    df = spark.createDataFrame(rows, "gen_id int, output string")
+    got = {r.gen_id for r in cutoff.cut_off(df).collect()}
+    assert got == {*range(1000, 1008), *range(1100, 1108), *range(1200, 1208)}
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     from tests.llm.texts import LANGUAGE_SAMPLES
