@@ -3,10 +3,12 @@
 Pigeonhole edit matching on words. A leak is a running part of at least
 ``PART`` words of an item (all of it if the item is shorter) that a document
 holds apart from case, diacritics, punctuation, spacing and one edited word in
-``ONE_IN``. With a budget of e edits, a part split into e + 1 pieces has one
-piece that occurs exactly, wherever the part begins; so all pieces of every
-item are looked up exactly, and each exact hit is verified by Myers'
-bit-parallel edit distance to both sides of it, for many hits at once.
+``ONE_IN``, so longer parts have more edits. With a budget of e edits, a part
+split into e + 1 pieces has one piece that occurs exactly, wherever the part
+begins; so all pieces of every item are looked up exactly, and each exact hit is
+verified by Myers' bit-parallel edit distance to both sides of it, for many hits
+at once. Of a leak of twice the least length or more, one half is a leak by
+itself, so only parts below that length are verified.
 
 The items are held-out test sets, of a size that is checked (``item_rows``);
 beyond that they are matched in blocks, each block against all documents. The
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from lumiscript.llm.common import bounded_rows, folded
 
 PART, ONE_IN = 28, 9
+#: Words to one side of a hit that a bit-parallel column has room for.
+WIDEST = 64
 DROP = re.compile(r"[^\w\s]+|_")
 
 
@@ -37,10 +41,10 @@ def word_list(text: str | None) -> list[str]:
 
 
 def needs(n: int, part: int = PART, one_in: int = ONE_IN) -> tuple[int, int, int]:
-    """Words that must match, the budget of edits, and the length of a piece, for an item of n words."""
+    """The least and the greatest number of words of a part to verify, and the length of a piece, for an item of n words."""
     need = min(n, part)
-    budget = need // one_in
-    return need, budget, need // (budget + 1)
+    most = min(n, 2 * need - 1)
+    return need, most, min(x // (x // one_in + 1) for x in range(need, most + 1))
 
 
 def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -62,7 +66,8 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], part: int = PART, one_in: int = ONE_IN):
         self.vocab: dict[str, int] = {}
         self.memo: dict[str, int] = {}
-        self.ids, self.words, self.start, self.need, self.budget = [], [], [], [], []
+        self.one_in = one_in
+        self.ids, self.words, self.start, self.need, self.most = [], [], [], [], []
         self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         raw: dict[int, list] = {}
         flat, at = [], 0
@@ -71,19 +76,21 @@ class ItemIndex:
             if not w:
                 continue
             number = len(self.ids)
-            need, budget, size = needs(len(w), part, one_in)
+            need, most, size = needs(len(w), part, one_in)
+            if most - size > WIDEST:
+                raise ValueError(f"parts of {most} words are too long to verify")
             own = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64)
             self.ids.append(item)
             self.start.append(at)
             self.need.append(need)
-            self.budget.append(budget)
+            self.most.append(most)
             flat.append(own)
             at += len(own)
             h = gram_hashes(spread(own), size)
             raw.setdefault(size, []).append((h, np.full(len(h), number), np.arange(len(h))))
         self.flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
         self.start = np.array(self.start + [at], np.int64)
-        self.need, self.budget = np.array(self.need, np.int64), np.array(self.budget, np.int64)
+        self.need, self.most = np.array(self.need, np.int64), np.array(self.most, np.int64)
         for size, parts in raw.items():
             h, number, off = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
@@ -137,7 +144,7 @@ def reach(pattern: np.ndarray, text: np.ndarray, budget: int) -> np.ndarray:
     out = np.zeros((n, budget + 1), np.int64)
     if not n or not m:
         return out
-    m = min(m, 64)
+    m = min(m, WIDEST)
     bit = (np.uint64(1) << np.arange(m, dtype=np.uint64))[None, :]
     pv, mv = np.full(n, (1 << m) - 1, np.uint64), np.zeros(n, np.uint64)
     one = np.uint64(1)
@@ -172,8 +179,32 @@ def reach(pattern: np.ndarray, text: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
+def most_reach(pattern: np.ndarray, text: np.ndarray, budget: int) -> np.ndarray:
+    """What ``reach`` can't exceed, cheaply: a word that the text lacks within ``budget`` places of its own costs an edit."""
+    n, m = pattern.shape
+    near = np.zeros((n, m), bool)
+    for s in range(-budget, budget + 1):
+        lo = max(0, -s)
+        if lo < m:
+            near[:, lo:] |= pattern[:, lo:] == text[:, lo + s : m + s]
+    lost = np.cumsum(~near, 1)
+    real = pattern != -1
+    return np.stack([((lost <= e) & real).sum(1) for e in range(budget + 1)], 1)
+
+
+def long_enough(left: np.ndarray, run: np.ndarray, right: np.ndarray, need: np.ndarray, one_in: int) -> np.ndarray:
+    """Whether some division of edits gives a part of at least the need with one edit in ``one_in``."""
+    most = left.shape[1] - 1
+    ok = np.zeros(len(run), bool)
+    for e in range(most + 1):
+        for f in range(most + 1 - e):
+            length = left[:, e] + run + right[:, f]
+            ok |= (length >= need) & (e + f <= length // one_in)
+    return ok
+
+
 def verified(index: ItemIndex, doc: np.ndarray, doc_start: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, item number) of the hits whose surroundings reach the need within the budget.
+    """(document number, item number) of the hits whose surroundings reach a part of at least the need with one edit in ``one_in`` words.
 
     hits: place in ``doc``, item number, offset in the item. Hits in a row on
     one diagonal are one exact run.
@@ -187,25 +218,23 @@ def verified(index: ItemIndex, doc: np.ndarray, doc_start: np.ndarray, hits: tup
     last = np.r_[first[1:], len(at)] - 1
     run = at[last] - at[first] + size
     number, row, a, o = number[first], row[first], at[first], off[first]
-    need, budget = index.need[number], index.budget[number]
+    need, longest = index.need[number], index.most[number]
     found = run >= need
     pairs_row, pairs_item = [row[found]], [number[found]]
     todo = np.flatnonzero(~found)
-    most = int(budget.max(initial=0))
+    most = int((longest // index.one_in).max(initial=0))
     for b in range(0, len(todo), block):
         t = todo[b : b + block]
-        width = int((need[t] - run[t]).max())
+        width = int((longest[t] - run[t]).max())
         lo, hi = index.start[number[t]], index.start[number[t] + 1]
         dlo, dhi = doc_start[row[t]], doc_start[row[t] + 1]
         left_i = window(index.flat, lo + o[t] - 1, lo, hi, -1, width, -1)
         right_i = window(index.flat, lo + o[t] + run[t], lo, hi, 1, width, -1)
         left_d = window(doc, a[t] - 1, dlo, dhi, -1, width + most, 0)
         right_d = window(doc, a[t] + run[t], dlo, dhi, 1, width + most, 0)
-        left, right = reach(left_i, left_d, most), reach(right_i, right_d, most)
-        ok = np.zeros(len(t), bool)
-        for e in range(most + 1):
-            for f in range(most + 1 - e):
-                ok |= (e + f <= budget[t]) & (left[:, e] + run[t] + right[:, f] >= need[t])
+        may = np.flatnonzero(long_enough(most_reach(left_i, left_d, most), run[t], most_reach(right_i, right_d, most), need[t], index.one_in))
+        t, left_i, right_i, left_d, right_d = t[may], left_i[may], right_i[may], left_d[may], right_d[may]
+        ok = long_enough(reach(left_i, left_d, most), run[t], reach(right_i, right_d, most), need[t], index.one_in)
         pairs_row.append(row[t][ok])
         pairs_item.append(number[t][ok])
     return np.concatenate(pairs_row), np.concatenate(pairs_item)

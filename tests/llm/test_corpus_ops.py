@@ -233,6 +233,38 @@ def test_leaks_against_brute_force(spark):
     assert got == {(r.doc_id, r.item_id) for r in leakage.leaked_items(d, it, blocks=3).collect()}
 
 
+def test_long_parts_have_more_edits():
+    """One edit in nine of the whole part, against brute force over parts of every length."""
+    rng = random.Random(5)
+    item = [f"tu{i}" for i in range(60)]
+    docs = []
+    for k in range(120):
+        n = rng.choice((36, 37, 40, 45, 50, 54, 60))
+        s = rng.randint(0, 60 - n)
+        w = item[s : s + n]
+        edits = n // 9 + rng.randint(0, 1)
+        for p in sorted(rng.sample(range(1, n - 1), edits) if k % 2 else [round((j + 1) * n / (edits + 1)) for j in range(edits)], reverse=True):
+            w[p : p + 1] = rng.choice((["khac"], [], [w[p], "moi"]))
+        docs.append(" ".join(w))
+    docs.append(" ".join("khac" if i in (9, 15, 21, 26) else w for i, w in enumerate(item[:36])))
+    index = leakage.ItemIndex([(1, " ".join(item))])
+    got = set(leakage.find(index, docs)[0].tolist())
+
+    def leak(b, first=28):
+        """The edit distance to the nearest part of the document, for each end of a part of the item from each place on."""
+        for s in range(len(item) - first + 1):
+            d = [0] * (len(b) + 1)
+            for i, x in enumerate(item[s:], 1):
+                prev, d[0] = d[0], i
+                for j, y in enumerate(b, 1):
+                    prev, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, prev + (x != y))
+                if i >= first and min(d) <= i // 9:
+                    return True
+        return False
+
+    assert got == {k for k, t in enumerate(docs) if leak(t.split())} and len(docs) - 1 in got and len(got) < len(docs)
+
+
 def test_leak_forms(spark):
     item = " ".join(f"Chữ{i} đẹp" for i in range(20)) + "."
     docs = [(1, "mở đầu, " + item.upper().replace(".", " !") + " hết"), (2, leakage.folded(item).replace(" ", "\n  ")), (3, " ".join(item.split()[:20])), (4, None), (5, ""), (1, "mở đầu, " + item.upper())]
