@@ -8,8 +8,9 @@ vote as labelling functions or abstain; expectation-maximization estimates how
 right each is (see ``weak``), and the posterior, not a row of thresholds that
 all must pass, says whether a text is repetitive.
 
-The marking is a map without a shuffle, linear in the text for each period up
-to ``MAX_PERIOD`` words; longer repeats are sentences or lines.
+The marking is a map without a shuffle. Every period up to a third of the text
+counts: those up to ``SHORT_PERIOD`` words are compared word by word, a longer
+one only where runs of words at its multiples are equal.
 
 Defined results: null and empty texts have no words, share 0 and no vote;
 repeated rows are measured once per row.
@@ -29,26 +30,51 @@ from pyspark.sql import functions as F
 from lumiscript.llm.confusables import plain_text
 from lumiscript.llm.weak import fit_label_model
 
-MAX_PERIOD, TIMES, SHARE = 60, 3, 0.2
+SHORT_PERIOD, TIMES, SHARE = 60, 3, 0.2
 LIST_NUMBER = re.compile(r"^\s*(?:\(?\d{1,3}\s*[.):\]]|[-•*+–·]|\(?[a-zđ]\)|(?:bước|buoc|step)\s*\d+\s*[:.)])\s*")
 UNIT = re.compile(r"(?<=[.!?…;])\s+|(?<=[。！？；])")
 WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:[.,/]\d+)*")
 MEASURES = ["n_words", "copy_words", "sentence_share", "line_share", "paragraph_share", "phrase_share", "repeat_share", "ngram_share", "zipped", "distinct_pairs"]
 
 
-def back_to_back(ids: np.ndarray, max_period: int = MAX_PERIOD, least: int = 6) -> np.ndarray:
+def run_hashes(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the 32 words from each place on, by doubling."""
+    h = ids.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for step in (1, 2, 4, 8, 16):
+            h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[:-step] >> np.uint64(29)) ^ (h[step:] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(step))
+    return h
+
+
+def back_to_back(ids: np.ndarray, least: int = 6) -> np.ndarray:
     """Marks the words after the first of a word or phrase repeated back to back at least twice more, over ``least`` words."""
     n = len(ids)
     out = np.zeros(n, bool)
-    for p in range(1, min(max_period, n // 2) + 1):
+    # Where a place lies in a repeat, the end of that repeat less its period.
+    within = np.zeros(n, np.int64)
+
+    def mark(p: int) -> None:
         same = ids[p:] == ids[:-p]
         if same.sum() < max(least, (TIMES - 1) * p):
-            continue
+            return
         edge = np.diff(np.concatenate([[0], same.view(np.int8), [0]]))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         for a, b in zip(start, end):
             if b - a >= max(least, (TIMES - 1) * p):
                 out[a + p : b + p] = True
+                np.maximum(within[a : b + p], b, out=within[a : b + p])
+
+    for p in range(1, min(SHORT_PERIOD, n // 2) + 1):
+        mark(p)
+    if n // TIMES > SHORT_PERIOD:
+        h = run_hashes(ids)
+        for p in range(SHORT_PERIOD + 1, n // TIMES + 1):
+            # A repeat of the period has a multiple of it in its first copy, and there a run of words equals the next one.
+            own = h[::p]
+            at = np.flatnonzero(own[1:] == own[:-1])
+            # What shares a period and more with a repeat of a shorter one is part of a repeat that is marked.
+            if len(at) and (within[at * p] < at * p + p).any():
+                mark(p)
     return out
 
 

@@ -67,6 +67,35 @@ def test_repeat_share(spark):
     assert repetition.measure("dài " * 50_000)[6] > 0.99
 
 
+def brute_back_to_back(ids, least=6):
+    out = [False] * len(ids)
+    for p in range(1, len(ids) // 2 + 1):
+        a = 0
+        while a < len(ids) - p:
+            b = a
+            while b < len(ids) - p and ids[b] == ids[b + p]:
+                b += 1
+            if b - a >= max(least, 2 * p):
+                out[a + p : b + p] = [True] * (b - a)
+            a = max(b, a + 1)
+    return out
+
+
+def test_long_periods():
+    rng = random.Random(8)
+    block = [f"w{i}" for i in range(130)]
+    assert repetition.measure(" ".join(block * 4))[6] == pytest.approx(3 / 4)
+    assert repetition.measure(" ".join(["đầu", *block * 3, "cuối"]))[6] == pytest.approx(260 / 392)
+    assert repetition.measure(" ".join(block * 2))[6] == 0
+    for k in range(60):
+        part = lambda n, most=40: [rng.randrange(most) for _ in range(n)]
+        inner = part(rng.choice((1, 7, 30))) * rng.choice((3, 9, 40)) if k % 3 else part(50)
+        block = (part(rng.randint(1, 60)) + inner + part(rng.randint(0, 60), 3))[:200]
+        ids = part(rng.randint(0, 90)) + block * rng.randint(2, 5) + block[: rng.randint(0, len(block))] + part(rng.randint(0, 90))
+        assert repetition.back_to_back(np.array(ids)).tolist() == brute_back_to_back(ids), k
+    assert repetition.measure("dài " * 50_000 + "hết bài")[6] > 0.99
+
+
 def test_repetition_edges(spark):
     rng = random.Random(5)
     rows = [(i, "\n".join(sentence(rng) for _ in range(6))) for i in range(60)]
