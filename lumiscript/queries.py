@@ -377,6 +377,12 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.review_queue(flagged.filter("E2 OR E5 OR E6").withColumn("E1", F.lit(False)), ["gen_id"]).select("gen_id", "tag", "stratum")
 
 
+def review_queue_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole queue: every flag and the confusion terms, with the lexicon and the citation index of the articles."""
+    arts = articles(spark, sf_dir)
+    return jobs.sample_queue(jobs.probe_errors(outputs(spark, sf_dir), arts, arts)).select("id", "tag", "stratum")
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     s = sample.stratified_sample(d, "source", "doc_id", 300)
@@ -408,6 +414,6 @@ QUERIES = {
         parse_articles, parse_procedures, citation_counts, citation_gate, retrieval_units, corpus_stats, corpus_verify, numbering_gaps, qa_validate, qa_stats, gold_coverage, mcq_items, random_baseline, answer_balance, probe_check, resume,
         bm25_stats, bm25_topk, rrf_fused, dynamic_cut, context_budget, dense_topk, retrieval_prf, amend_as_of, latency_change,
         mcnemar_pairs, holm_bh, floor_check, degradation, flip_rates, flip_directions, flip_by_group, proxy_validation, bootstrap_ci, paired_significance, sampling_error, latency_summary, machine_consistency,
-        agreement_pairs, agreement_bounds, detector_calibration, error_distribution, review_queue, stratified_sample, coverage, calibration_mix, screening,
+        agreement_pairs, agreement_bounds, detector_calibration, error_distribution, review_queue, review_queue_full, stratified_sample, coverage, calibration_mix, screening,
     )
 }

@@ -68,6 +68,20 @@ def test_labels(spark):
     assert [r.tag for r in agreement.ordered_tags(tags, ["bf16", "int8"]).collect()] == ["a@int8", "m@bf16", "m@int8", "m@zz"]
 
 
+def test_whole_review_queue(spark, tmp_path):
+    """Broken encoding alone, confusion terms alone, unknown citations and lost tones all reach the queue."""
+    from lumiscript.queries import QUERIES
+
+    fine = "Người dân nộp hồ sơ ở phường trước ngày mười lăm và chờ trả lời."
+    rows = [("ok", fine), ("e1", fine + " Má»\x8d."), ("e1e6", fine + " Má»\x8d. Người dân nộp"), ("e2", fine + " Nguoi dan phuong nguoi."), ("e3", fine + " Theo Điều 99."), ("conf", fine + " Mức phạt tiền là cao."), ("null", None)]
+    df = spark.createDataFrame([(i, k, "m@bf16", "hỏi", t, "stop", 0) for i, (k, t) in enumerate(rows)], "gen_id long, id string, tag string, prompt string, output string, finish_reason string, ingested_at long")
+    df.union(df.filter("id = 'e1'")).write.parquet(f"{tmp_path}/generations.parquet")
+    arts = [("x::dieu-1", "x", "1", fine, ["P.1"], 0)] * 3
+    spark.createDataFrame([(f"{u}{i}", *v) for i, (u, *v) in enumerate(arts)], "unit_id string, doc_id string, dieu string, text string, bienbao array<string>, collected_at long").write.parquet(f"{tmp_path}/articles.parquet")
+    got = {r.id: r.stratum for r in QUERIES["review_queue_full"](spark, str(tmp_path)).collect()}
+    assert got == {"e1": "E1", "e1e6": "E1", "e2": "E2", "e3": "E3", "conf": "none"}
+
+
 def test_crosscheck(spark):
     rows = [("a", "Một?", "A"), ("b", " một? ", "A"), ("a", "Hai?", "B"), ("b", "hai?", "C"), ("c", "Ba?", None)]
     df = spark.createDataFrame(rows, "source string, question string, answer string")
