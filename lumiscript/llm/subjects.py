@@ -12,7 +12,9 @@ subject that at least a quarter of its sentences are about.
 
 The samples are few, so the rules are mined in two rounds: those of the first
 label a bounded sample of the corpus (``corpus_rows``, in an order by hash),
-whose clear documents are mined again. Scoring is a map over the corpus: nothing
+whose clear documents are mined again. In how many documents a phrase of the
+samples occurs, so which ones are set phrases, is counted over all different
+texts of the corpus. Scoring is a map over the corpus: nothing
 is shuffled, and the rules are bounded by ``max_rules``.
 
 Defined results: null or empty texts, and texts without sentences, have no
@@ -130,24 +132,30 @@ class SubjectModel:
             lens[i] = len(ids) - n
         return np.array(ids, np.int64), np.repeat(np.arange(len(texts)), lens)
 
-    def evidence(self, texts: list[str], matches: bool = False) -> tuple[np.ndarray, ...]:
-        """The text of each sentence and its evidence for each subject; with ``matches``, also how many single-item rules for each subject it has."""
-        ids, row = self.numbers(texts)
+    def matched(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The end of each sentence or line, whether it is a sentence, and the (sentence, item) pairs of what the rules know."""
         end = ids < 0
         unit = np.r_[0, np.cumsum(end)[:-1]] if len(ids) else np.zeros(0, np.int64)
         stops = np.flatnonzero(end)
         size = np.diff(np.r_[-1, stops]) - 1
         real = (ids[stops] == STOP) & (size >= MIN_WORDS)
+        if not len(self.keys) or not len(ids):
+            return stops, real, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * ITEM + ids[1:], 0)
+        code = np.concatenate([ids, pair])
+        where = np.concatenate([unit, unit[:-1]])
+        k = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
+        hit = np.flatnonzero((self.keys[k] == code) & (code > 0) & real[np.minimum(where, len(real) - 1)])
+        found = np.unique(where[hit] * len(self.keys) + k[hit])  # an item counts once a sentence
+        return stops, real, found // len(self.keys), found % len(self.keys)
+
+    def evidence(self, texts: list[str], matches: bool = False) -> tuple[np.ndarray, ...]:
+        """The text of each sentence and its evidence for each subject; with ``matches``, also how many single-item rules for each subject it has."""
+        ids, row = self.numbers(texts)
+        stops, real, u, k = self.matched(ids)
         score = np.zeros((len(stops), len(self.subjects)))
         count = np.zeros((len(stops), len(self.subjects)))
         if len(self.keys) and len(ids):
-            pair = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * ITEM + ids[1:], 0)
-            code = np.concatenate([ids, pair])
-            where = np.concatenate([unit, unit[:-1]])
-            k = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-            hit = np.flatnonzero((self.keys[k] == code) & (code > 0) & real[np.minimum(where, len(real) - 1)])
-            found = np.unique(where[hit] * len(self.keys) + k[hit])  # an item counts once a sentence
-            u, k = found // len(self.keys), found % len(self.keys)
             for s in range(len(self.subjects)):
                 score[:, s] = np.bincount(u, self.weight[k, s], len(stops))
                 if matches:
@@ -172,6 +180,35 @@ class SubjectModel:
         return z / z.sum(1, keepdims=True)
 
 
+def text_spread(corpus: DataFrame, items: set[str], text: str = "text", most: int = 5_000_000) -> Counter:
+    """In how many different texts of ``corpus`` each of the items occurs: a pass over all of them, in which copies count once."""
+    names = sorted(items)
+    if not names:
+        return Counter()
+    model = SubjectModel(["any"], [((i,), 0, 1.0) for i in names])
+    place = {model.words[w]: w for i in names for w in i.split(" ")}
+    own = {int(c): j for j, c in enumerate(model.keys)}
+    label = [""] * len(own)
+    for c, j in own.items():
+        label[j] = place[c] if c < ITEM else f"{place[c // ITEM]} {place[c % ITEM]}"
+    bc = corpus.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = bc.value
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                part = pdf.iloc[a : a + 500]
+                ids, row = m.numbers(part["_text"].tolist())
+                stops, _, u, k = m.matched(ids)
+                pair = np.unique(row[stops][u] * len(m.keys) + k)
+                lists = np.split(pair % len(m.keys), np.searchsorted(pair // len(m.keys), np.arange(1, len(part))))
+                yield pd.DataFrame({"h": part["h"].to_numpy(), "found": [x.astype(np.int32) for x in lists]})
+
+    rows = corpus.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInPandas(run, "h bigint, found array<int>")
+    counts = rows.groupBy("h").agg(F.first("found").alias("found")).select(F.explode("found").alias("j")).groupBy("j").agg(F.count("*").alias("n"))
+    return Counter({label[r.j]: r.n for r in bounded_rows(counts, most, "the items of the labelled sample")})
+
+
 def apart(items: list[str], clear: dict[str, tuple]) -> list[str]:
     """The clearest of the items that share words, or the most widespread of equally clear ones; else the parts of one phrase make sets without end."""
     kept, used = [], set()
@@ -244,7 +281,7 @@ def fit_scale(model: SubjectModel, texts: list[str], labels: list[str]) -> float
 
 
 def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_rows: int = 4000, sample_rows: int = 20_000, max_rules: int = 20_000) -> SubjectModel:
-    """Mines rules from ``samples`` (text, subject), then from at most ``corpus_rows`` texts of ``corpus`` (id, text)."""
+    """Mines rules from ``samples`` (text, subject), then from at most ``corpus_rows`` different texts of ``corpus`` (text); set phrases are counted over all of them."""
     spark = samples.sparkSession
     lang = F.col("lang") if "lang" in samples.columns else F.lit("")
     known = bounded_rows(samples.select("text", "subject", lang.alias("lang")).filter("text IS NOT NULL AND subject IS NOT NULL").orderBy("subject", "lang", F.xxhash64("text")), sample_rows, "the labelled sample")
@@ -264,10 +301,10 @@ def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_row
         model = rules_model(mine(spark, labelled(known), 2, 0.55, max_rules), subjects)
         model.scale = scale
         return model
-    more = [r.text for r in bounded_sample(corpus.select("id", "text").filter("text IS NOT NULL"), "id", corpus_rows)]
+    more = [r.text for r in bounded_sample(corpus.select("text").filter("text IS NOT NULL").distinct(), "text", corpus_rows)]
     # Set phrases of a language are in most of its documents, though few samples may have them; the first rules leave them out.
-    spread = Counter(i for t in more for i in {i for w in sentences(t) for i in items_of(w)})
     own = {x: {i for r in known if r.lang == x for w in sentences(r.text) for i in items_of(w)} for x in of_lang}
+    spread = text_spread(corpus, set().union(*own.values()))
     usual: set[tuple[str, str]] = set()
     for x, items in own.items():
         only = items.difference(*(v for k, v in own.items() if k != x))

@@ -306,3 +306,14 @@ def test_subjects(spark):
     assert subjects.document_subjects(df.limit(0), model, ["doc_id"]).count() == 0
     none = subjects.fit_subjects(samples.limit(0), df.withColumnRenamed("doc_id", "id"))
     assert subjects.document_subjects(df, none, ["doc_id"]).count() == 0
+
+
+def test_spread_counts_every_text_once(spark):
+    """Against the slow way, over more texts than the bounded sample has, one of them in many copies."""
+    rng = random.Random(9)
+    texts = [topic_text(rng, rng.choice(sorted(TOPICS)), 3) for _ in range(300)] + ["Tiêu đề\nMột hai ba bốn năm. Hai.", "根据说明，两种文件并不相同。今年共有许多材料。", ""]
+    items = {i for t in texts[:200] + texts[300:] for w in subjects.sentences(t) for i in subjects.items_of(w)}
+    want = subjects.Counter(i for t in {*texts} for i in {i for w in subjects.sentences(t) for i in subjects.items_of(w)} & items)
+    df = spark.createDataFrame([(t,) for t in texts + [texts[0]] * 100 + [None]], "text string")
+    assert subjects.text_spread(df, items) == want and subjects.text_spread(df, set()) == {}
+    assert subjects.text_spread(df.limit(0), items) == {}
