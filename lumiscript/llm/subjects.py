@@ -259,7 +259,9 @@ def mine(spark, transactions: list[tuple[str, list[str]]], min_count: int, min_c
         if any(p and p[0] >= conf - 0.05 for p in parts):
             continue
         kept.append((tuple(sorted(body)), subject, min(weight, 6.0)))
-    return kept[:max_rules]
+    if len(kept) > max_rules:
+        raise ValueError(f"over {max_rules} rules")
+    return kept
 
 
 def rules_model(rules: list[tuple[tuple[str, ...], str, float]], subjects: list[str]) -> SubjectModel:

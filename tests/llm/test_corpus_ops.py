@@ -317,3 +317,11 @@ def test_spread_counts_every_text_once(spark):
     df = spark.createDataFrame([(t,) for t in texts + [texts[0]] * 100 + [None]], "text string")
     assert subjects.text_spread(df, items) == want and subjects.text_spread(df, set()) == {}
     assert subjects.text_spread(df.limit(0), items) == {}
+
+
+def test_too_many_rules_raise(spark):
+    rows = [(s, [f"{s}{i % 4}", f"{s}{i % 3}x"]) for s in ("a", "b") for i in range(24)]
+    n = len(subjects.mine(spark, rows, 2, 0.55, 1000))
+    assert n > 2 and len(subjects.mine(spark, rows, 2, 0.55, n)) == n
+    with pytest.raises(ValueError):
+        subjects.mine(spark, rows, 2, 0.55, n - 1)
