@@ -1,21 +1,25 @@
 """Problem 10: the subject areas of each document.
 
-Class-association rules. The sentences of labelled samples are transactions of
-words and neighbouring word pairs (folded, so marks don't matter; Chinese by
-character pairs) with the subject as one more item. Parallel frequent-pattern
-growth (``pyspark.ml.fpm.FPGrowth``) mines the frequent sets; a set with a
-subject gives a rule, and a rule stays only if it is confident and no smaller
-rule for the subject is about as confident (redundant rules are pruned). A
-sentence sums the log odds of its matching rules, a temperature fitted on
-held-out sentences turns the sums into probabilities, and a document has each
-subject that at least a quarter of its sentences are about.
-
-The samples are few, so the rules are mined in two rounds: those of the first
-label a bounded sample of the corpus (``corpus_rows``, in an order by hash),
-whose clear documents are mined again. In how many documents a phrase of the
-samples occurs, so which ones are set phrases, is counted over all different
-texts of the corpus. Scoring is a map over the corpus: nothing
-is shuffled, and the rules are bounded by ``max_rules``.
+Class-association rules. The sentences of labelled samples are cut into
+overlapping runs of ``RUN`` words (folded, so marks don't matter; Chinese by
+character); each run is a transaction of its words with the subject as one more
+item, and nothing is taken out of it but what the corpus shows to be set
+phrases. Parallel frequent-pattern growth (``pyspark.ml.fpm.FPGrowth``) mines the
+frequent sets; a set of up to ``MOST_ITEMS`` words with a subject gives a rule,
+and a rule stays only if it is confident and no smaller rule for the subject is
+about as confident (redundant rules are pruned after mining). Most syllables and
+characters are in terms of several subjects, so most rules are sets. A sentence
+sums the log odds of its matching rules, a temperature fitted on held-out
+sentences turns the sums into probabilities, and a document has each subject
+that at least a quarter of its sentences are about.
+
+The samples are few, so the rules are mined twice: those of the samples label a
+bounded sample of the corpus (``corpus_rows`` different texts, in an
+order by hash), whose clear documents are mined again. That sample only says
+which rules to ask about: how often each rule goes with each subject, and so its
+confidence and weight, and in how many documents a word of the samples occurs,
+are counted over all different texts of the corpus. Scoring is a map over the
+corpus: nothing is shuffled, and the rules are bounded by ``max_rules``.
 
 Defined results: null or empty texts, and texts without sentences, have no
 subject; headings (lines without a final stop) aren't sentences; repeated rows
@@ -24,10 +28,10 @@ of a document give one row; ties go to the first subject by name.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,12 +44,13 @@ from lumiscript.llm.common import bounded_rows, bounded_sample, composed, folded
 TOKENS = re.compile(r"[^\W\d_]+|[.!?…]+(?=\s|$)|[。！？]|\n")
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 MIN_WORDS, SHARE = 4, 0.25
-WORD_LETTERS = 6
-#: Share of a language's documents from which a phrase of theirs is a set one.
+#: Words of a transaction, and how far apart transactions begin: three neighbours are always together in one.
+RUN, STEP = 5, 3
+MOST_ITEMS = 3
+#: Share of a language's documents from which a word of theirs belongs to set phrases.
 SET_PHRASE = 0.35
 #: One or two sentences that have less than this many rules for a subject only mention it in passing.
-FIRM = 3
-ITEM = 1 << 21  # word numbers below; a pair is first * ITEM + second
+FIRM = 4
 STOP, LINE = -1, -2
 
 
@@ -67,16 +72,15 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def items_of(words: list[str]) -> list[str]:
-    """Pairs of neighbours, and the words of ``WORD_LETTERS`` letters or more: short ones are in too many phrases."""
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
-    return sorted({*pairs, *(w for w in words if len(w) >= WORD_LETTERS)})
+def runs(words: list[str]) -> list[list[str]]:
+    """The distinct words of each run of a sentence; a run adds at least one word to the one before."""
+    return [sorted({*words[a : a + RUN]}) for a in range(0, len(words), STEP) if a == 0 or a + RUN - STEP < len(words)]
 
 
 @dataclass
 class SubjectModel:
     subjects: list[str]
-    rules: list[tuple[tuple[str, ...], int, float]]  # items, subject, log odds
+    rules: list[tuple[tuple[str, ...], int, float]]  # words, subject, log odds
     scale: float = 1.0
     words: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
@@ -88,26 +92,33 @@ class SubjectModel:
         self.__init__(**s)
 
     def __post_init__(self):
-        number = lambda w: self.words.setdefault(w, len(self.words) + 1)
-        code = lambda item: (lambda p: number(p[0]) * ITEM + number(p[1]) if len(p) == 2 else number(p[0]))(item.split(" "))
-        single: dict[int, np.ndarray] = {}
-        self.sets: list[tuple[list[int], int, float]] = []
+        """Rules by body: singles by word number, pairs by two of them, triples by the number of their first pair and a third word."""
+        for w in sorted({w for items, _, _ in self.rules for w in items}):
+            self.words[w] = len(self.words) + 1
+        size = len(self.words) + 1
+        bodies: dict[tuple[int, ...], np.ndarray] = {}
         for items, subject, weight in self.rules:
-            codes = sorted(code(i) for i in items)
-            if len(codes) == 1:
-                single.setdefault(codes[0], np.zeros(len(self.subjects)))[subject] += weight
-            else:
-                self.sets.append((codes, subject, weight))
-        keys = np.array(sorted({*single, *(c for codes, _, _ in self.sets for c in codes)}), np.int64)
-        self.keys = keys
-        self.weight = np.stack([single.get(int(k), np.zeros(len(self.subjects))) for k in keys]) if len(keys) else np.zeros((0, len(self.subjects)))
-        place = {int(k): i for i, k in enumerate(keys)}
-        self.sets = [([place[c] for c in codes], s, w) for codes, s, w in self.sets]
-        self.by_first: dict[int, list] = {}
-        for codes, s, w in self.sets:
-            self.by_first.setdefault(codes[0], []).append((frozenset(codes), s, w))
-        self.in_set = np.zeros(len(keys), bool)
-        self.in_set[[c for codes, _, _ in self.sets for c in codes]] = True
+            bodies.setdefault(tuple(sorted(self.words[w] for w in items)), np.zeros(len(self.subjects)))[subject] += weight
+        self.bodies = sorted(bodies)
+        self.weight = np.stack([bodies[b] for b in self.bodies]) if bodies else np.zeros((0, len(self.subjects)))
+        place = {b: i for i, b in enumerate(self.bodies)}
+        self.single = np.full(size, -1, np.int64)
+        for b, i in place.items():
+            if len(b) == 1:
+                self.single[b[0]] = i
+        firsts = sorted({b[:2] for b in self.bodies if len(b) >= 2})
+        self.size = size
+        self.pair_keys = np.array([a * size + b for a, b in firsts], np.int64)
+        self.pair_rule = np.array([place.get(p, -1) for p in firsts], np.int64)
+        number = {p: i for i, p in enumerate(firsts)}
+        self.begins = np.zeros(len(firsts), bool)
+        triples = [b for b in self.bodies if len(b) == 3]
+        self.begins[[number[b[:2]] for b in triples]] = True
+        codes = np.array([number[b[:2]] * size + b[2] for b in triples], np.int64)
+        order = np.argsort(codes)
+        self.triple_keys, self.triple_rule = codes[order], np.array([place[b] for b in triples], np.int64)[order]
+        self.many = np.zeros(size, bool)  # words of sets
+        self.many[[w for b in self.bodies if len(b) > 1 for w in b]] = True
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row (0: in no rule; STOP and LINE end a sentence) and the text of each."""
@@ -133,44 +144,59 @@ class SubjectModel:
         return np.array(ids, np.int64), np.repeat(np.arange(len(texts)), lens)
 
     def matched(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The end of each sentence or line, whether it is a sentence, and the (sentence, item) pairs of what the rules know."""
+        """The end of each sentence or line, whether it is a sentence, and the distinct (sentence, rule body) pairs."""
         end = ids < 0
         unit = np.r_[0, np.cumsum(end)[:-1]] if len(ids) else np.zeros(0, np.int64)
         stops = np.flatnonzero(end)
         size = np.diff(np.r_[-1, stops]) - 1
         real = (ids[stops] == STOP) & (size >= MIN_WORDS)
-        if not len(self.keys) or not len(ids):
-            return stops, real, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pair = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * ITEM + ids[1:], 0)
-        code = np.concatenate([ids, pair])
-        where = np.concatenate([unit, unit[:-1]])
-        k = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-        hit = np.flatnonzero((self.keys[k] == code) & (code > 0) & real[np.minimum(where, len(real) - 1)])
-        found = np.unique(where[hit] * len(self.keys) + k[hit])  # an item counts once a sentence
-        return stops, real, found // len(self.keys), found % len(self.keys)
+        none = np.zeros(0, np.int64)
+        if not len(self.bodies) or not len(ids):
+            return stops, real, none, none
+        first = np.r_[0, stops[:-1] + 1]
+        word = np.where(real[unit] & ~end, ids, 0)
+        at = np.flatnonzero(word > 0)
+        rule = self.single[word[at]]
+        found = [(unit[at][rule >= 0], rule[rule >= 0])]
+        if len(self.pair_keys):
+            begin = np.flatnonzero(real[unit] & ~end & ((np.arange(len(ids)) - first[unit]) % STEP == 0))
+            known = np.concatenate([np.where(self.many[np.maximum(word, 0)], word, 0), np.zeros(RUN, np.int64)])
+            u = unit[begin]
+            last = stops[u]
+            w = np.stack([np.where(begin + j < last, known[begin + j], 0) for j in range(RUN)], 1)
+            some = np.flatnonzero((w > 0).sum(1) >= 2)
+            w, u = np.sort(w[some], 1), u[some]
+            w[:, 1:][w[:, 1:] == w[:, :-1]] = 0
+            for i, j in combinations(range(RUN), 2):
+                both = np.flatnonzero((w[:, i] > 0) & (w[:, j] > 0))
+                code = w[both, i] * self.size + w[both, j]
+                k = np.minimum(np.searchsorted(self.pair_keys, code), len(self.pair_keys) - 1)
+                hit = self.pair_keys[k] == code
+                both, k = both[hit], k[hit]
+                own = self.pair_rule[k] >= 0
+                found.append((u[both][own], self.pair_rule[k][own]))
+                if len(self.triple_keys) and j + 1 < RUN:
+                    more = self.begins[k]
+                    both, k = both[more], k[more]
+                    for x in range(j + 1, RUN):
+                        code = k * self.size + w[both, x]
+                        t = np.minimum(np.searchsorted(self.triple_keys, code), len(self.triple_keys) - 1)
+                        hit = (self.triple_keys[t] == code) & (w[both, x] > 0)
+                        found.append((u[both][hit], self.triple_rule[t][hit]))
+        n = len(self.bodies)
+        pair = np.unique(np.concatenate([a for a, _ in found]) * n + np.concatenate([b for _, b in found]))  # a rule counts once a sentence
+        return stops, real, pair // n, pair % n
 
     def evidence(self, texts: list[str], matches: bool = False) -> tuple[np.ndarray, ...]:
-        """The text of each sentence and its evidence for each subject; with ``matches``, also how many single-item rules for each subject it has."""
+        """The text of each sentence and its evidence for each subject; with ``matches``, also how many rules for each subject it has."""
         ids, row = self.numbers(texts)
         stops, real, u, k = self.matched(ids)
         score = np.zeros((len(stops), len(self.subjects)))
         count = np.zeros((len(stops), len(self.subjects)))
-        if len(self.keys) and len(ids):
-            for s in range(len(self.subjects)):
-                score[:, s] = np.bincount(u, self.weight[k, s], len(stops))
-                if matches:
-                    count[:, s] = np.bincount(u, self.weight[k, s] > 0, len(stops))
-            if self.by_first:
-                own = self.in_set[k]
-                u, k = u[own], k[own]
-                edges = np.flatnonzero(np.r_[True, u[1:] != u[:-1], True]) if len(u) else np.zeros(1, np.int64)
-                for a, b in zip(edges[:-1], edges[1:]):
-                    if b - a >= 2:
-                        have = {*k[a:b].tolist()}
-                        for first in have & self.by_first.keys():
-                            for codes, s, w in self.by_first[first]:
-                                if codes <= have:
-                                    score[u[a], s] += w
+        for s in range(len(self.subjects) if len(u) else 0):
+            score[:, s] = np.bincount(u, self.weight[k, s], len(stops))
+            if matches:
+                count[:, s] = np.bincount(u, self.weight[k, s] > 0, len(stops))
         return (row[stops][real], score[real]) if not matches else (row[stops][real], score[real], count[real])
 
     def probability(self, score: np.ndarray) -> np.ndarray:
@@ -179,93 +205,147 @@ class SubjectModel:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-
-def text_spread(corpus: DataFrame, items: set[str], text: str = "text", most: int = 5_000_000) -> Counter:
-    """In how many different texts of ``corpus`` each of the items occurs: a pass over all of them, in which copies count once."""
-    names = sorted(items)
-    if not names:
-        return Counter()
-    model = SubjectModel(["any"], [((i,), 0, 1.0) for i in names])
-    place = {model.words[w]: w for i in names for w in i.split(" ")}
-    own = {int(c): j for j, c in enumerate(model.keys)}
-    label = [""] * len(own)
-    for c, j in own.items():
-        label[j] = place[c] if c < ITEM else f"{place[c // ITEM]} {place[c % ITEM]}"
+    def clear_subjects(self, texts: list[str], share: float = SHARE) -> np.ndarray:
+        """The subject that a text is clearly about, else -1; a text that repeats one phrase of a subject isn't clear."""
+        out = np.full(len(texts), -1, np.int64)
+        if not len(self.bodies):
+            return out
+        ids, row = self.numbers(texts)
+        stops, real, u, k = self.matched(ids)
+        score = np.stack([np.bincount(u, self.weight[k, s], len(stops)) for s in range(len(self.subjects))], 1)
+        p = self.probability(score)[:, :-1]
+        best, sure = p.argmax(1), p.max(1) * real
+        text = row[stops]
+        n = np.bincount(text[real], minlength=len(texts))
+        mass = np.zeros((len(texts), len(self.subjects)))
+        np.add.at(mass, (text, best), (sure > 0.6) * sure)
+        top = mass.argmax(1)
+        own = self.weight[k, top[text[u]]] > 0
+        several = np.bincount(np.unique(text[u][own] * len(self.bodies) + k[own]) // len(self.bodies), minlength=len(texts))
+        high = mass.max(1)
+        ok = (n >= 2) & (several >= 4) & (high >= share * n) & (high >= 4 * (mass.sum(1) - high))
+        out[ok] = top[ok]
+        return out
+
+
+def per_text(corpus: DataFrame, model: SubjectModel, work, schema: str, text: str = "text") -> DataFrame:
+    """h and what ``work(model, texts)`` gives for the texts of each batch: one row for each different text."""
     bc = corpus.sparkSession.sparkContext.broadcast(model)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        m = bc.value
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 part = pdf.iloc[a : a + 500]
-                ids, row = m.numbers(part["_text"].tolist())
-                stops, _, u, k = m.matched(ids)
-                pair = np.unique(row[stops][u] * len(m.keys) + k)
-                lists = np.split(pair % len(m.keys), np.searchsorted(pair // len(m.keys), np.arange(1, len(part))))
-                yield pd.DataFrame({"h": part["h"].to_numpy(), "found": [x.astype(np.int32) for x in lists]})
-
-    rows = corpus.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInPandas(run, "h bigint, found array<int>")
-    counts = rows.groupBy("h").agg(F.first("found").alias("found")).select(F.explode("found").alias("j")).groupBy("j").agg(F.count("*").alias("n"))
-    return Counter({label[r.j]: r.n for r in bounded_rows(counts, most, "the items of the labelled sample")})
-
-
-def apart(items: list[str], clear: dict[str, tuple]) -> list[str]:
-    """The clearest of the items that share words, or the most widespread of equally clear ones; else the parts of one phrase make sets without end."""
-    kept, used = [], set()
-    for i in sorted(items, key=lambda i: (round(clear[i][0], 2), *clear[i][1:], i), reverse=True):
-        words = i.split(" ")
-        if used.isdisjoint(words):
-            kept.append(i)
-            used.update(words)
-    return kept
-
-
-def mine(spark, transactions: list[tuple[str, list[str]]], min_count: int, min_conf: float, max_rules: int, spread: Counter | None = None, partitions: int = 6) -> list[tuple[tuple[str, ...], str, float]]:
-    """Rules from (subject, items) pairs: frequent sets by FP-growth, confident ones kept, redundant ones pruned."""
-    total: dict[str, int] = {}
-    of: dict[str, dict[str, int]] = {}
-    for subject, items in transactions:
-        total[subject] = total.get(subject, 0) + 1
-        for i in items:
-            own = of.setdefault(i, {})
-            own[subject] = own.get(subject, 0) + 1
-    n, classes = sum(total.values()), len(total)
-    # An item that says nothing about any subject is in no confident rule worth having; without them the sets stay few.
-    useful = {i for i, c in of.items() if max(c.values()) >= min_count and max(c[s] / total[s] for s in c) >= 0.5 * sum(v / total[s] for s, v in c.items())}
-    clear = {i: (max(v / total[s] for s, v in of[i].items()) / sum(v / total[s] for s, v in of[i].items()), spread[i] if spread else 0, sum(of[i].values())) for i in useful}
-    rows = [([f"\0{s}", *apart([i for i in items if i in useful], clear)],) for s, items in transactions]
-    frame = spark.createDataFrame(rows, "items array<string>").repartition(partitions)
-    sets = FPGrowth(itemsCol="items", minSupport=min_count / max(n, 1), minConfidence=0.0, numPartitions=partitions).fit(frame).freqItemsets
-    labelled = F.exists("items", lambda i: i.startswith("\0"))
-    sets = sets.filter((F.size("items") <= 2) | (F.size("items") == 3) & labelled)  # no rule has more than two items
-    freq = {frozenset(r["items"]): r["freq"] for r in bounded_rows(sets, 40 * max_rules, "the frequent sets")}
-    odds: dict[tuple[frozenset, str], tuple[float, float]] = {}
-    for s, count in freq.items():
-        label = [x for x in s if x[0] == "\0"]
-        if len(label) != 1 or len(s) < 2:
-            continue
-        body, subject = s - {*label}, label[0][1:]
-        if len(body) > 2:
-            continue
-        # Rates for balanced subjects, with a Laplace prior.
-        own = (count + 0.5) / (total[subject] + 1)
-        rest = (freq[body] - count + 0.5) / (n - total[subject] + 1)
-        conf = own / (own + (classes - 1) * rest)
-        if conf >= min_conf:
-            odds[body, subject] = (conf, math.log(own / rest))
-    kept = []
-    for (body, subject), (conf, weight) in sorted(odds.items(), key=lambda x: (-x[1][1], len(x[0][0]), sorted(x[0][0]), x[0][1])):
-        parts = [odds.get((frozenset([i]), subject)) for i in body] if len(body) > 1 else []
-        if any(p and p[0] >= conf - 0.05 for p in parts):
-            continue
-        kept.append((tuple(sorted(body)), subject, min(weight, 6.0)))
-    if len(kept) > max_rules:
-        raise ValueError(f"over {max_rules} rules")
-    return kept
+                yield pd.DataFrame({"h": part["h"].to_numpy()} | dict(zip(names, work(bc.value, part["_text"].tolist()))))
+
+    rows = corpus.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInPandas(run, f"h bigint, {schema}")
+    return rows.groupBy("h").agg(*[F.first(c).alias(c) for c in names])
+
+
+def lists(text: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+    """The values of each of n texts; ``text`` is in order."""
+    return [x.astype(np.int32) for x in np.split(value, np.searchsorted(text, np.arange(1, n)))]
+
+
+def text_spread(corpus: DataFrame, words: set[str], text: str = "text", most: int = 1_000_000) -> Counter:
+    """In how many different texts of ``corpus`` each of the words occurs: a pass over all of them, in which copies count once."""
+    names = sorted(words)
+    if not names:
+        return Counter()
+    model = SubjectModel(["any"], [((w,), 0, 1.0) for w in names])
+
+    def work(m, texts):
+        ids, row = m.numbers(texts)
+        stops, _, u, k = m.matched(ids)
+        pair = np.unique(row[stops][u] * len(m.bodies) + k)
+        return [lists(pair // len(m.bodies), pair % len(m.bodies), len(texts))]
 
+    counts = per_text(corpus, model, work, "found array<int>", text).select(F.explode("found").alias("j")).groupBy("j").agg(F.count("*").alias("n"))
+    return Counter({names[r.j]: r.n for r in bounded_rows(counts, most, "the words of the labelled sample")})
 
-def rules_model(rules: list[tuple[tuple[str, ...], str, float]], subjects: list[str]) -> SubjectModel:
-    return SubjectModel(subjects, [(items, subjects.index(s), w) for items, s, w in rules])
+
+def transactions(labelled: DataFrame, drop: dict[str, set[str]] | None = None) -> DataFrame:
+    """items: a row for each run of words of ``labelled`` (subject, text, lang), the subject among them; words of ``drop`` (by language) left out."""
+    drop = drop or {}
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for s, t, x in zip(pdf["subject"], pdf["text"], pdf["lang"]):
+                out = drop.get(x, ())
+                rows += [["\0" + s, *own] for w in sentences(t) for r in runs(w) if (own := [i for i in r if i not in out])]
+            yield pd.DataFrame({"items": rows})
+
+    return labelled.select("subject", "text", "lang").mapInPandas(run, "items array<string>")
+
+
+def confidence(own, total, rest, others, classes: int):
+    """Columns: (confidence, log odds) for balanced subjects, with a Laplace prior."""
+    a, b = (own + 0.5) / (total + 1), (rest + 0.5) / (others + 1)
+    return a / (a + (classes - 1) * b), F.log(a / b)
+
+
+def pruned(odds: dict[tuple[tuple[str, ...], str], tuple[float, float]], max_rules: int) -> list[tuple[tuple[str, ...], str, float]]:
+    """Rules without the redundant ones: those of which a smaller rule for the subject is about as confident."""
+    kept: dict[tuple[tuple[str, ...], str], float] = {}
+    for (body, subject), (conf, weight) in sorted(odds.items(), key=lambda x: (len(x[0][0]), x[0])):
+        parts = (kept.get((p, subject)) for k in range(1, len(body)) for p in combinations(body, k))
+        if not any(p is not None and p >= conf - 0.05 for p in parts):
+            kept[body, subject] = conf
+    if len(kept) > max_rules:
+        raise ValueError(f"over {max_rules} rules")
+    return [(body, subject, min(odds[body, subject][1], 6.0)) for body, subject in kept]
+
+
+def mine(frame: DataFrame, min_count: int, min_conf: float, max_rules: int, partitions: int = 6) -> list[tuple[tuple[str, ...], str, float]]:
+    """Rules from ``transactions``: frequent sets by FP-growth, confident ones kept, redundant ones pruned."""
+    frame = frame.repartition(partitions).persist()
+    n = frame.count()
+    if not n:
+        return []
+    sets = FPGrowth(itemsCol="items", minSupport=min_count / n, minConfidence=0.0, numPartitions=partitions).fit(frame).freqItemsets
+    label = F.filter("items", lambda i: i.startswith("\0"))
+    sets = sets.select(F.sort_array(F.filter("items", lambda i: ~i.startswith("\0"))).alias("body"), F.substring(F.get(label, F.lit(0)), 2, 1000).alias("subject"), "freq").filter(F.size("body") <= MOST_ITEMS).persist()
+    total = {r.subject: r.freq for r in bounded_rows(sets.filter("size(body) = 0"), 100_000, "the subjects")}
+    own = sets.filter("subject IS NOT NULL AND size(body) > 0")
+    both = own.join(sets.filter("subject IS NULL").select("body", F.col("freq").alias("every")), "body")
+    of = F.element_at(F.create_map(*[F.lit(x) for p in total.items() for x in p]), F.col("subject")) if total else F.lit(0)
+    conf, odds = confidence(F.col("freq"), of, F.col("every") - F.col("freq"), F.lit(n) - of, len(total))
+    rows = bounded_rows(both.select("body", "subject", conf.alias("conf"), odds.alias("odds")).filter(F.col("conf") >= min_conf), 20 * max_rules, "the confident rules")
+    frame.unpersist()
+    sets.unpersist()
+    return pruned({(tuple(r.body), r.subject): (r.conf, r.odds) for r in rows}, max_rules)
+
+
+def recounted(corpus: DataFrame, model: SubjectModel, min_count: int, min_conf: float, max_rules: int, text: str = "text") -> SubjectModel:
+    """The rules of ``model`` weighed anew by all different texts that it clearly gives a subject; those that don't hold there are left out."""
+
+    def work(m, texts):
+        ids, row = m.numbers(texts)
+        stops, real, u, k = m.matched(ids)
+        return m.clear_subjects(texts), np.bincount(row[stops][real], minlength=len(texts)), lists(row[stops][u], k, len(texts))
+
+    seen = per_text(corpus, model, work, "s int, n int, found array<int>", text).filter("s >= 0")
+    # One aggregate: of each subject the sentences (rule -1) and of each rule the sentences that have it.
+    rows = seen.select("s", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("n")), "found")).alias("k")).groupBy("s", "k").agg(F.count("*").alias("n"))
+    counts = np.zeros((len(model.subjects), len(model.bodies) + 1))
+    for r in bounded_rows(rows, counts.size, "the counts of the rules"):
+        counts[r.s, r.k] = r.n
+    total, counts = counts[:, -1], counts[:, :-1]
+    names = {v: w for w, v in model.words.items()}
+    a = (counts + 0.5) / (total[:, None] + 1)
+    b = (counts.sum(0) - counts + 0.5) / (total.sum() - total[:, None] + 1)
+    conf = a / (a + (len(model.subjects) - 1) * b)
+    odds = {}
+    for i, body in enumerate(model.bodies):
+        for s in np.flatnonzero((conf[:, i] >= min_conf) & (counts[:, i] >= min_count)):
+            odds[tuple(sorted(names[w] for w in body)), model.subjects[s]] = (float(conf[s, i]), float(np.log(a[s, i] / b[s, i])))
+    return rules_model(pruned(odds, max_rules), model.subjects, model.scale)
+
+
+def rules_model(rules: list[tuple[tuple[str, ...], str, float]], subjects: list[str], scale: float = 1.0) -> SubjectModel:
+    return SubjectModel(subjects, [(items, subjects.index(s), w) for items, s, w in rules], scale)
 
 
 def fit_scale(model: SubjectModel, texts: list[str], labels: list[str]) -> float:
@@ -282,62 +362,53 @@ def fit_scale(model: SubjectModel, texts: list[str], labels: list[str]) -> float
     return best[1]
 
 
-def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_rows: int = 4000, sample_rows: int = 20_000, max_rules: int = 20_000) -> SubjectModel:
-    """Mines rules from ``samples`` (text, subject), then from at most ``corpus_rows`` different texts of ``corpus`` (text); set phrases are counted over all of them."""
+def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_rows: int = 4000, sample_rows: int = 20_000, max_rules: int = 40_000) -> SubjectModel:
+    """Mines rules from ``samples`` (text, subject), then from at most ``corpus_rows`` different texts of ``corpus`` (text); their counts are those of all of it."""
     spark = samples.sparkSession
     lang = F.col("lang") if "lang" in samples.columns else F.lit("")
-    known = bounded_rows(samples.select("text", "subject", lang.alias("lang")).filter("text IS NOT NULL AND subject IS NOT NULL").orderBy("subject", "lang", F.xxhash64("text")), sample_rows, "the labelled sample")
+    known = bounded_rows(samples.select("text", "subject", F.coalesce(lang, F.lit("")).alias("lang")).filter("text IS NOT NULL AND subject IS NOT NULL").orderBy("subject", "lang", F.xxhash64("text")), sample_rows, "the labelled sample")
     subjects = sorted({r.subject for r in known})
     if not subjects:
         return SubjectModel([], [])
     # A language with few samples counts as much as the one with most, else its words are in no rule.
     of_lang = Counter(r.lang for r in known)
     times = {x: max(1, round(max(of_lang.values()) / n)) for x, n in of_lang.items()}
-    held = [r for i, r in enumerate(known) if i % 5 == 4]
-    labelled = lambda rows: [(r.subject, items_of(w)) for r in rows for w in sentences(r.text) for _ in range(times[r.lang])]
-    scale = 1.0
+
+    def frame(rows: list[tuple[str, str, str]]) -> DataFrame:
+        return spark.createDataFrame(rows, "subject string, text string, lang string").repartition(6)
+
+    def seeds(rows) -> DataFrame:
+        return frame([(r.subject, r.text, r.lang) for r in rows for _ in range(times[r.lang])])
+
+    # Two occurrences: one gives a pair of neighbours in up to two runs.
     if corpus is None:
-        model = rules_model(mine(spark, labelled([r for i, r in enumerate(known) if i % 5 != 4]), 2, 0.55, max_rules), subjects)
+        held = [r for i, r in enumerate(known) if i % 5 == 4]
+        model = rules_model(mine(transactions(seeds([r for i, r in enumerate(known) if i % 5 != 4])), 3, 0.55, max_rules), subjects)
         scale = fit_scale(model, [r.text for r in held], [r.subject for r in held])
-    if corpus is None:
-        model = rules_model(mine(spark, labelled(known), 2, 0.55, max_rules), subjects)
-        model.scale = scale
-        return model
+        return rules_model(mine(transactions(seeds(known)), 3, 0.55, max_rules), subjects, scale)
     more = [r.text for r in bounded_sample(corpus.select("text").filter("text IS NOT NULL").distinct(), "text", corpus_rows)]
-    # Set phrases of a language are in most of its documents, though few samples may have them; the first rules leave them out.
-    own = {x: {i for r in known if r.lang == x for w in sentences(r.text) for i in items_of(w)} for x in of_lang}
+    # Words of a language's set phrases are in most of its documents, though few samples may have them; the first rules leave them out.
+    own = {x: {i for r in known if r.lang == x for w in sentences(r.text) for i in w} for x in of_lang}
     spread = text_spread(corpus, set().union(*own.values()))
-    usual: set[tuple[str, str]] = set()
+    usual: dict[str, set[str]] = {}
     for x, items in own.items():
         only = items.difference(*(v for k, v in own.items() if k != x))
         most = max((spread[i] for i in only or items), default=0)
-        usual |= {(x, i) for i in items if spread[i] > SET_PHRASE * most}
-    seeds = [(r.subject, [i for i in items_of(w) if (r.lang, i) not in usual]) for r in known for w in sentences(r.text) for _ in range(times[r.lang])]
-    model = rules_model(mine(spark, seeds, 2, 0.55, max_rules, spread), subjects)
-    everything = [(r.subject, items_of(w)) for r in known for w in sentences(r.text)]
-    for round_ in range(3):
-        transactions, kept = list(everything), []
-        of_subject = [{x for items, s, _ in model.rules if s == k for x in items} for k in range(len(subjects))]
-        for lo in range(0, len(more), 500):
-            part = more[lo : lo + 500]
-            row, score = model.evidence(part)
-            p = model.probability(score)
-            best, sure = p[:, :-1].argmax(1), p[:, :-1].max(1)
-            edges = np.searchsorted(row, np.arange(len(part) + 1))
-            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                if b - a < 2:
-                    continue
-                mass = np.bincount(best[a:b], (sure[a:b] > 0.6) * sure[a:b], len(subjects))
-                top = int(mass.argmax())
-                words = {i for w in sentences(part[i]) for i in items_of(w)} & of_subject[top]
-                # One phrase again and again is no subject: a text without one may repeat a word that a rule has.
-                several = len({w for x in words for w in x.split(" ")}) >= 4
-                if several and mass[top] >= (0.36 if round_ else SHARE) * (b - a) and mass[top] >= 4 * (mass.sum() - mass[top]):
-                    kept.append((part[i], subjects[top]))  # all of its sentences count, so that set phrases spread over the subjects
-        transactions += [(s, items_of(w)) for i, (t, s) in enumerate(kept) if i % 5 != 4 for w in sentences(t)]
-        model = rules_model(mine(spark, transactions, max(4, len(transactions) // 6000), 0.7 if round_ < 2 else 0.88, max_rules), subjects)
-        clear = [x for i, x in enumerate(kept) if i % 5 == 4]
-        model.scale = fit_scale(model, [t for t, _ in clear], [s for _, s in clear])
+        usual[x] = {i for i in items if spread[i] > SET_PHRASE * most}
+    model = rules_model(mine(transactions(seeds(known), usual), 3, 0.55, max_rules), subjects)
+    kept = []
+    for lo in range(0, len(more), 500):
+        part = more[lo : lo + 500]
+        kept += [(subjects[s], t, "") for s, t in zip(model.clear_subjects(part), part) if s >= 0]  # all of its sentences count, so that set phrases spread over the subjects
+    clear = [x for i, x in enumerate(kept) if i % 5 == 4]
+    labelled = frame([*((r.subject, r.text, r.lang) for r in known), *(x for i, x in enumerate(kept) if i % 5 != 4)])
+    found = mine(transactions(labelled), max(6, len(kept) // 400), 0.7, max_rules)
+    # The rules of the samples stay candidates: of a rare language the corpus's sample may have little.
+    new = {(items, s) for items, s, _ in found}
+    model = rules_model([*found, *((items, subjects[s], w) for items, s, w in model.rules if (items, subjects[s]) not in new)], subjects)
+    model.scale = fit_scale(model, [t for _, t, _ in clear], [s for s, _, _ in clear])
+    model = recounted(corpus, model, 4, 0.88, max_rules)
+    model.scale = fit_scale(model, [t for _, t, _ in clear], [s for s, _, _ in clear])
     return model
 
 
