@@ -39,6 +39,7 @@ MIN_WORDS, MIN_HAN = 6, 10
 HAN_WEIGHT = MIN_WORDS / MIN_HAN
 #: Words and ends of sentences; a stop inside a number ends nothing.
 TOKENS = re.compile(r"[^\W\d_]+|[.!?…;:]+(?=\s|$)|[。！？；]|\n")
+LETTERS = re.compile(r"[^\W\d_]+")
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 CYRILLIC = re.compile(r"[Ѐ-ԯ]")
 MARKED = re.compile(r"[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉĩịọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹ]")
@@ -228,6 +229,26 @@ class LangModel:
         weight = np.add.reduceat(margin * size, run) / np.maximum(total, 1e-6)
         return pd.DataFrame({"row": u_row[run], "n": total, "lang": lang[run], "margin": weight})
 
+    def halves(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language and margin of the first half, the second half and the whole of each text by its words, and its size; no passages are looked for."""
+        tokens, lens = [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                found = LETTERS.findall(composed(t))
+                lens[i] = len(found)
+                tokens += found
+        ids = self.ids(tokens)
+        end = np.cumsum(lens)
+        start = end - lens
+        total, sizes = np.zeros((len(ids) + 1, self.scores.shape[1])), np.zeros(len(ids) + 1)
+        total[1:], sizes[1:] = np.cumsum(self.scores[ids], 0), np.cumsum(self.size[ids])
+        lang, margin = np.zeros((len(texts), 3), np.int64), np.zeros((len(texts), 3))
+        middle = (start + end) // 2
+        for k, (a, b) in enumerate(((start, middle), (middle, end), (start, end))):
+            lang[:, k], margin[:, k] = self.decide(total[b] - total[a], sizes[b] - sizes[a])
+            margin[a == b, k] = 0
+        return lang, margin, sizes[end] - sizes[start]
+
     def split(self, s, n, start, lang, u_row):
         """Cuts sentences in which a run of six words or more is clearly of another language than the whole."""
         end = np.r_[start[1:], len(n)]

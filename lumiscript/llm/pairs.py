@@ -1,14 +1,15 @@
 """Problem 6: broken prompt and response pairs, each with its defects.
 
 For every defect several noisy labelling functions vote or abstain on a pair;
-an expectation-maximization label model (see ``weak``) weighs them, and a pair
-keeps every defect whose posterior reaches the defect's cutoff. The cutoff is
-validated on the fitted model itself: of all posteriors that occur, the one
-with the best expected F1.
+none of them sees the whole of a defect. An expectation-maximization label model
+(see ``weak``) weighs them, and a pair keeps every defect whose posterior reaches
+the defect's cutoff. The cutoff is validated on a held-out half: the model of one
+half of the pairs judges the other half, and the cutoff with the best F1 there,
+by what the other half's own model believes, is taken.
 
 The votes on a pair are one map over the rows; those on truncation come from
 the corpus statistics of ``cutoff``. Only the counts of vote patterns go to the
-driver.
+driver, from one aggregate for all defects.
 
 Defined results: a null or blank response is ``empty`` and has no other defect;
 a null or blank prompt leaves ``copy`` and ``other_language`` undecided (no
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -29,31 +29,38 @@ from pyspark.sql import functions as F
 from lumiscript.llm.common import FOLD, bounded_rows, checkpointed, folded
 from lumiscript.llm.confusables import plain_text
 from lumiscript.llm.cutoff import cut_off
-from lumiscript.llm.langid import FAMILY_OF, LANGS, LangModel
+from lumiscript.llm.langid import LANGS, LangModel
 from lumiscript.llm.weak import LabelModel, fit_patterns
 
 DEFECTS = {
-    "empty": ["e_blank", "e_label", "e_letters"],
-    "truncated": ["t_word", "t_sentence", "t_stop", "t_reason"],
-    "refusal": ["r_core", "r_open", "r_share", "r_short"],
-    "copy": ["c_cover", "c_pairs", "c_length"],
-    "other_language": ["o_main", "o_family", "o_marks"],
+    "empty": ["e_blank", "e_label", "e_short", "e_marks"],
+    "truncated": ["t_trie", "t_torn", "t_short", "t_rare", "t_stop", "t_reason"],
+    "refusal": ["r_unable", "r_policy", "r_open", "r_share", "r_plain", "r_topic"],
+    "copy": ["c_bag", "c_new", "c_pairs", "c_length"],
+    "other_language": ["o_first", "o_last", "o_whole", "o_marks", "o_script"],
 }
 #: The rates that EM starts from.
 PRIORS = {"empty": 0.03, "truncated": 0.12, "refusal": 0.03, "copy": 0.03, "other_language": 0.05}
 
+#: The functions on truncation by the reasons of ``cutoff``.
+CUT_REASONS = {"t_trie": ("inside a word",), "t_torn": ("torn character", "open punctuation"), "t_short": ("short sentence",), "t_rare": ("rare ending",)}
+
 # Fixed values, folded: labels that say nothing, marks of a refusal, openings of one.
 LABELS = re.compile(r"\b(?:tra loi|dap an|cau tra loi|answer|response|output|ket qua|noi dung|n\s*/?\s*a|null|none|khong co|nan)\b\s*[:.]?")
-CORE = re.compile(
-    r"khong the (?:ho tro|tra loi|giup|cung cap|thuc hien|dap ung|tu van|dua ra|giai dap|ban)|khong (?:duoc phep|tra loi|cung cap|giai dap|tu van|ban toi|ban den|ho tro)|chua duoc phep|tu choi|khuoc tu|khong co kha nang|khong du kha nang|(?:nam )?ngoai pham vi|mien (?:binh luan|tra loi|ban)|bo qua nhung cau|khong phai viec|dung o day|khong di vao noi dung|khong tien|minh chiu\b|xin phep khong"
-    r"|(?:can\s?not|can't|unable to|not able to|won't|not allowed to|must decline|have to decline|decline to|refuse to) ?(?:help|assist|answer|provide|give|comply|respond|discuss|do)?|outside (?:of )?my scope"
-    r"|je ne peux pas|je refuse|no puedo|me niego|не могу|отказываюсь|无法|不能提供|拒绝|不便"
+UNABLE = re.compile(
+    r"khong the (?:ho tro|tra loi|giup|cung cap|thuc hien|dap ung|tu van|dua ra|giai dap|ban)|khong co kha nang|khong du kha nang|khong tien|minh chiu\b"
+    r"|(?:can\s?not|can't|unable to|not able to|won't) ?(?:help|assist|answer|provide|give|comply|respond|discuss|do)?|je ne peux pas|no puedo|не могу|无法|不便"
+)
+POLICY = re.compile(
+    r"khong (?:duoc phep|tra loi|cung cap|giai dap|tu van|ban toi|ban den|ho tro)|chua duoc phep|tu choi|khuoc tu|(?:nam )?ngoai pham vi|mien (?:binh luan|tra loi|ban)|bo qua nhung cau|khong phai viec|dung o day|khong di vao noi dung|xin phep khong"
+    r"|(?:not allowed to|must decline|have to decline|decline to|refuse to) ?(?:help|assist|answer|provide|give|comply|respond|discuss|do)?|outside (?:of )?my scope|je refuse|me niego|отказываюсь|不能提供|拒绝"
 )
 OPEN = re.compile(r"^\W*(?:xin loi|rat tiec|thanh that xin loi|voi vai tro|toi xin phep|that tiec|tiec la|i am sorry|i'm sorry|sorry|unfortunately|as an? (?:ai|assistant|language)|desole|lo siento|извините|к сожалению|抱歉|对不起|很遗憾)")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 MARKED = re.compile("[" + "".join(sorted(chr(c) for c in FOLD if chr(c).isalpha())) + "]")
 NOT_LATIN = re.compile("[^\x00-\u024f\u0300-\u036f\u1e00-\u1eff\u2010-\u2026]")
+OTHER_SCRIPT = re.compile("[\u0370-\u1cff\u2e80-\ud7ff\uf900-\ufaff]")
 STOPPED = re.compile(r"[.!?。！？…]$")
 NUMBER_STOP = re.compile(r"\d\.$")
 
@@ -66,80 +73,75 @@ def plainly(text: str) -> str:
     return unicodedata.normalize("NFD", low.replace("đ", "d").replace("…", "...")).encode("ascii", "ignore").decode()
 
 
+def between(value: float, high: float, low: float) -> int | None:
+    """1 from ``high`` on, 0 up to ``low``, else no vote."""
+    return 1 if value >= high else 0 if value <= low else None
+
+
 def pair_votes(prompt: str | None, response: str | None) -> dict:
-    """The votes that need the two texts only; missing keys abstain."""
-    v: dict[str, int] = {}
+    """The votes that need the two texts only; missing or null ones abstain."""
     a = plain_text(response) if response else ""
     f = plainly(a)
     words = WORDS.findall(f)
+    if not words:
+        return {"e_blank": 1, "e_marks": 1, "e_short": 1}
+    v: dict[str, int | None] = {"e_blank": 0}
     rest = WORDS.findall(LABELS.sub(" ", f)) if len(words) < 12 else words
-    v["e_blank"] = int(not words)
     v["e_label"] = int(not rest)
-    if len(rest) == 0 or len(rest) > 3:
-        v["e_letters"] = int(len(rest) == 0)
-    if not rest:
-        return v
+    v["e_short"] = between(-len(words), -3, -8)
+    v["e_marks"] = between(-sum(map(len, words)) / len(re.sub(r"\s+", "", f)), -0.5, -0.9)
     # Refusal: what counts is how much of the response refuses, not that it apologises.
-    sentences = [s for s in SENTENCE.split(f) if WORDS.search(s)]
-    core = [bool(CORE.search(s)) for s in sentences]
-    share = sum(len(WORDS.findall(s)) for s, c in zip(sentences, core) if c) / len(words)
-    v["r_core"] = int(any(core))
+    sentences = [x for x in SENTENCE.split(f) if WORDS.search(x)]
+    unable, policy = [bool(UNABLE.search(x)) for x in sentences], [bool(POLICY.search(x)) for x in sentences]
     opened = bool(OPEN.match(f))
-    if opened or not any(core):
-        v["r_open"] = int(opened)
-    if share >= 0.6 or share < 0.4:
-        v["r_share"] = int(share >= 0.6)
-    numbers = sum(w[0].isdigit() for w in words)
-    if len(words) <= 40 and numbers == 0:
-        if any(core) or opened:
-            v["r_short"] = 1
-    else:
-        v["r_short"] = 0
+    v["r_unable"], v["r_policy"], v["r_open"] = (1 if x else None for x in (any(unable), any(policy), opened))
+    size = [len(WORDS.findall(x)) for x in sentences]
+    v["r_share"] = between(sum(n for n, x, y in zip(size, unable, policy) if x or y) / len(words), 0.6, 0.4)
+    v["r_plain"] = int(len(words) <= 40 and not any(w[0].isdigit() for w in words))
     q = WORDS.findall(plainly(plain_text(prompt))) if prompt else []
     if len(q) >= 3:
         own = {*q}
         cover = sum(w in own for w in words) / len(words)
-        extra = sum(w not in own for w in words)
-        if cover >= 0.7 and extra <= 4 or cover < 0.6:
-            v["c_cover"] = int(cover >= 0.7)
+        v["r_topic"] = between(-cover, -0.2, -0.5)
+        v["c_bag"] = between(cover, 0.7, 0.6)
+        v["c_new"] = between(-sum(w not in own for w in words), -4, -7)
         pairs = {*zip(q, q[1:])}
-        both = sum(p in pairs for p in {*zip(words, words[1:])}) / max(1, len(pairs))
-        if both >= 0.6 or both < 0.3:
-            v["c_pairs"] = int(both >= 0.6)
-        if len(words) > 1.6 * len(q) + 4:
-            v["c_length"] = 0
-        elif len(words) >= 0.4 * len(q):
-            v["c_length"] = 1 if cover >= 0.7 else 0
+        v["c_pairs"] = between(sum(p in pairs for p in {*zip(words, words[1:])}) / max(1, len(pairs)), 0.6, 0.3)
+        v["c_length"] = 0 if len(words) > 1.6 * len(q) + 4 else 1 if len(words) >= 0.4 * len(q) else None
     return v
 
 
+def script_of(text: str) -> int:
+    """The prevailing script: 0 Latin, 1 Latin with the marks of Vietnamese, 2 another; -1 without letters."""
+    n = sum(map(str.isalpha, text))
+    if not n:
+        return -1
+    return 2 if len(OTHER_SCRIPT.findall(text)) > 0.5 * n else int(len(MARKED.findall(text)) >= 0.08 * n)
+
+
 def language_votes(model: LangModel, prompts: list[str], responses: list[str]) -> list[dict]:
-    """Votes on whether the response is mainly in another language than the prompt."""
+    """Votes on whether the response is mainly in another language than the prompt: by its halves, the whole, its marks and its script."""
     n = len(prompts)
-    found = model.segments([*prompts, *responses])
-    amount = np.zeros((2 * n, len(LANGS)))
-    row, lang = found["row"].to_numpy(np.int64), found["lang"].to_numpy(np.int64)
-    np.add.at(amount, (row, lang), found["n"].to_numpy(float))
-    total = amount.sum(1)
-    main = amount.argmax(1)
-    margin = np.zeros(2 * n)
-    np.add.at(margin, row, found["margin"].to_numpy(float) * found["n"].to_numpy(float))
-    margin /= np.maximum(total, 1e-9)
+    lang, margin, size = model.halves([*prompts, *responses])
     out = []
+    vi = LANGS.index("vi")
     for i in range(n):
         v: dict[str, int] = {}
         j = n + i
-        if total[i] >= 3 and total[j] >= 3:
-            # The rest of the response has to be less than its main language.
-            v["o_main"] = int(main[i] != main[j])
-            if min(margin[i], margin[j]) >= 0.3:
-                v["o_family"] = int(FAMILY_OF[LANGS[main[i]]] != FAMILY_OF[LANGS[main[j]]] or main[i] != main[j])
+        if size[i] >= 3 and size[j] >= 3 and margin[i, 2] >= 0.1:
+            own = lang[i, 2]
+            for name, k, least in (("o_first", 0, 0.1), ("o_last", 1, 0.1), ("o_whole", 2, 0.3)):
+                if margin[j, k] >= least:
+                    v[name] = int(lang[j, k] != own)
             marks = [len(MARKED.findall(t)) / max(1, len(t)) for t in (prompts[i], responses[i])]
             if marks[0] >= 0.08:  # Vietnamese with its marks
                 if marks[1] >= 0.08:
                     v["o_marks"] = 0
-                elif marks[1] < 0.04 and main[j] != LANGS.index("vi"):
+                elif marks[1] < 0.04 and lang[j, 2] != vi:
                     v["o_marks"] = 1
+            a, b = script_of(prompts[i]), script_of(responses[i])
+            if max(a, b) == 2:
+                v["o_script"] = int(a != b)
         out.append(v)
     return out
 
@@ -156,7 +158,7 @@ def voted_pairs(df: DataFrame, model: LangModel, key: str, prompt: str, response
             for lo in range(0, len(pdf), 500):
                 p = pdf.iloc[lo : lo + 500]
                 q, a = [x or "" for x in p["q"]], [x or "" for x in p["a"]]
-                votes = [x | y if x.get("e_label") == 0 else x for x, y in zip(map(pair_votes, q, a), language_votes(m, q, a))]
+                votes = [x | y for x, y in zip(map(pair_votes, q, a), language_votes(m, q, a))]
                 for v, t, f in zip(votes, a, p["f"]):
                     t = t.rstrip()
                     if STOPPED.search(t) and not NUMBER_STOP.search(t):
@@ -167,41 +169,59 @@ def voted_pairs(df: DataFrame, model: LangModel, key: str, prompt: str, response
 
     rows = df.select(F.col(key).alias("k"), F.col(prompt).alias("q"), F.col(response).alias("a"), (F.lower(reason) if reason else F.lit(None).cast("string")).alias("f"))
     voted = rows.mapInPandas(run, f"k {kind}, " + ", ".join(f"{x} tinyint" for x in names))
-    word = F.col("reason").isin("inside a word", "torn character")
-    cut = cut_off(df, key, response).groupBy(F.col(key).alias("k")).agg(F.max(word.cast("int")).alias("w"))
-    votes = voted.join(cut, "k", "left").withColumn("t_word", F.when(F.col("w") == 1, 1).when(F.col("w").isNull(), 0)).withColumn("t_sentence", F.when(F.col("w") == 0, 1).when(F.col("w").isNull(), 0))
-    return votes.drop("w").withColumnRenamed("k", key)
-
-
-def fit_defects(voted: DataFrame) -> dict[str, tuple[LabelModel, float]]:
-    """A label model and a validated cutoff for each defect, from the counts of all vote patterns."""
+    cut = cut_off(df, key, response).groupBy(F.col(key).alias("k")).agg(F.min("reason").alias("r"))
+    votes = voted.join(cut, "k", "left")
+    # The function of the reason votes for it; the others, asked after it, abstain.
+    for name, reasons in CUT_REASONS.items():
+        votes = votes.withColumn(name, F.when(F.col("r").isNull(), 0).when(F.col("r").isin(*reasons), 1))
+    return votes.drop("r").withColumnRenamed("k", key)
+
+
+def posteriors(model: LabelModel, patterns: np.ndarray) -> np.ndarray:
+    z = np.full(len(patterns), np.log(model.prior / (1 - model.prior)))
+    for f, (zero, one, none) in enumerate(model.odds):
+        z += np.select([patterns[:, f] == 1, patterns[:, f] == 0], [one, zero], none)
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
+def best_cutoff(judged: np.ndarray, belief: np.ndarray, n: np.ndarray) -> float:
+    """The cutoff of ``judged`` posteriors with the best F1 by the ``belief`` of another model, n rows each; midway to the next lower posterior."""
+    values = np.unique(judged)
+    best = (-1.0, 0.5)
+    for i, c in enumerate(values):
+        own = judged >= c
+        tp, all_true, size = (n * belief)[own].sum(), (n * belief).sum(), n[own].sum()
+        f1 = 2 * tp / (size + all_true) if size + all_true > 0 else 0.0
+        best = max(best, (f1, float((c + values[i - 1]) / 2 if i else c)))
+    return best[1]
+
+
+def fit_defects(voted: DataFrame, key: str) -> dict[str, tuple[LabelModel, float]]:
+    """A label model and a cutoff for each defect, from one aggregate: the counts of all vote patterns in each half of the keys."""
+    votes = lambda names: F.concat_ws(",", *[F.coalesce(F.col(v).cast("string"), F.lit("-1")) for v in names])
+    said = F.coalesce(F.col("e_blank") == 0, F.lit(True)) & ~F.coalesce(F.col("e_label") == 1, F.lit(False))
+    each = F.array(*[F.struct(F.lit(d).alias("d"), F.when(F.lit(d == "empty") | said, votes(names)).alias("p")) for d, names in DEFECTS.items()])
+    counts = voted.select(F.pmod(F.xxhash64(F.col(key)), F.lit(2)).alias("half"), F.inline(each)).filter("p IS NOT NULL").groupBy("d", "half", "p").count()
+    rows = bounded_rows(counts, 2 * sum(3 ** len(x) for x in DEFECTS.values()), "the table of vote patterns")
     out = {}
-    for defect, votes in DEFECTS.items():
-        rows = voted.filter("e_label = 0") if defect != "empty" else voted
-        counts = Counter({tuple(-1 if r[v] is None else int(r[v]) for v in votes): r["count"] for r in bounded_rows(rows.groupBy(*votes).count(), 3 ** len(votes), "the table of vote patterns")})
-        if not counts:
-            counts[tuple([-1] * len(votes))] = 0
-        patterns = np.array(sorted(counts))
-        n = np.array([counts[tuple(p)] for p in patterns], float)
-        model = fit_patterns(patterns, n, votes, PRIORS[defect], trust=0.95, strength=50.0)
-        z = np.full(len(patterns), np.log(model.prior / (1 - model.prior)))
-        for f, (zero, one, none) in enumerate(model.odds):
-            z += np.select([patterns[:, f] == 1, patterns[:, f] == 0], [one, zero], none)
-        q = 1 / (1 + np.exp(-z))
-        best = (-1.0, 0.5)
-        for c in np.unique(np.r_[q[q > 1e-6], 0.5]):
-            tp, fn, size = (n * q)[q >= c].sum(), (n * q)[q < c].sum(), n[q >= c].sum()
-            best = max(best, (2 * tp / (size + tp + fn) if size + tp + fn else 0.0, float(c)))
-        out[defect] = (model, min(max(best[1], 0.2), 0.9) - 1e-9)
+    for defect, names in DEFECTS.items():
+        seen = sorted({r.p for r in rows if r.d == defect}) or [",".join(["-1"] * len(names))]
+        patterns = np.array([[int(x) for x in p.split(",")] for p in seen])
+        n = np.zeros((2, len(seen)))
+        for r in rows:
+            if r.d == defect:
+                n[r.half, seen.index(r.p)] = r["count"]
+        one, other, both = (fit_patterns(patterns, x, names, PRIORS[defect], trust=0.95, strength=50.0) for x in (n[0], n[1], n.sum(0)))
+        out[defect] = (both, best_cutoff(posteriors(one, patterns), posteriors(other, patterns), n[1]))
     return out
 
 
 def defective_pairs(voted: DataFrame, key: str) -> DataFrame:
-    """key, defect, posterior: every defect whose posterior reaches its cutoff; ``voted`` is written down once."""
+    """key, defect, posterior: every defect whose posterior reaches its cutoff; ``voted`` is written down once and read in one pass."""
     voted = checkpointed(voted)
-    found = None
-    for defect, (model, cutoff) in fit_defects(voted).items():
-        rows = voted if defect == "empty" else voted.filter("e_label = 0")
-        own = rows.select(key, F.lit(defect).alias("defect"), model.posterior().alias("posterior")).filter(F.col("posterior") >= cutoff)
-        found = own if found is None else found.unionByName(own)
-    return found.groupBy(key, "defect").agg(F.max("posterior").alias("posterior"))
+    fitted = fit_defects(voted, key)
+    for defect, (model, _) in fitted.items():
+        voted = voted.withColumn(f"p_{defect}", model.posterior())
+    no_answer = F.col("p_empty") >= fitted["empty"][1]
+    found = F.array(*[F.struct(F.lit(d).alias("defect"), F.when((F.col(f"p_{d}") >= cutoff) & (F.lit(d == "empty") | ~no_answer), F.col(f"p_{d}")).alias("posterior")) for d, (_, cutoff) in fitted.items()])
+    return voted.select(key, F.inline(found)).filter("posterior IS NOT NULL").groupBy(key, "defect").agg(F.max("posterior").alias("posterior"))
