@@ -43,17 +43,23 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
-    """At most ``rows`` rows, the first in the order of the key's hash.
+def bounded_sample(df: DataFrame, key: str, rows: int, where: str = "true", distinct: bool = False) -> list:
+    """At most ``rows`` rows that meet ``where``, the first in the order of the key's hash; ``distinct``: different ones.
 
-    A cut on the hash, from the number of rows, leaves about that many before
-    anything is ordered or collected, however many partitions there are.
+    The rows are counted without reading a column, and a cut on the hash leaves
+    about as many as are asked for before anything is ordered, compared or
+    collected, so the table is read once. Where the condition or copies leave too
+    few, the cut is widened.
     """
     n = df.count()
-    if n > rows:
-        share = min(1.0, 1.3 * rows / n + 20 / n)
-        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return df.orderBy(F.xxhash64(key), key).limit(rows).collect()
+    share = 1.0 if n <= rows else min(1.0, 1.3 * rows / n + 20 / n)
+    while True:
+        own = df if share >= 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+        own = own.filter(where)
+        got = (own.distinct() if distinct else own).orderBy(F.xxhash64(key), key).limit(rows).collect()
+        if len(got) >= 0.5 * rows or share >= 1:
+            return got
+        share = min(1.0, 4 * share)
 
 
 def crc(text: str) -> int:

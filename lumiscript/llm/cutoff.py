@@ -108,7 +108,7 @@ def cut_off(df: DataFrame, key: str = "gen_id", text: str = "output", min_suppor
     notes = checkpointed(cut_notes(df, key, text))
     bigrams = checkpointed(notes.filter("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n_all"), F.sum("ends").alias("n_end")))
     known = bigrams.groupBy("b").agg(F.sum("n_all").alias("w_all"), F.sum("n_end").alias("w_end"))
-    # The nodes of the trie that are asked for: those under the last words.
+    # The nodes of the trie: every proper prefix of the words after each word.
     node = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, F.lit(1), i)))
     trie = bigrams.filter("n_all >= 2 AND length(b) > 1").select("a", node(F.col("b")).alias("b"), "n_all").groupBy("a", "b").agg(F.sum("n_all").alias("below"))
     word_trie = known.filter("w_all >= 2 AND length(b) > 1").select(node(F.col("b")).alias("b"), "w_all").groupBy("b").agg(F.sum("w_all").alias("w_below"))

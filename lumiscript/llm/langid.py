@@ -58,7 +58,7 @@ def word_features(word: str) -> np.ndarray:
     if HAN.search(w):
         grams = {"s:han", *w}
     else:
-        b = f"^{w[:40]}$"
+        b = f"^{w}$"
         grams = {b, *(b[i : i + n] for n in (2, 3, 4) for i in range(len(b) - n + 1))}
         if CYRILLIC.search(w):
             grams.add("s:cyr")
@@ -361,8 +361,8 @@ def fit_languages(samples: DataFrame, corpus: DataFrame | None = None, corpus_ro
     model = train(texts, langs)
     if corpus is None:
         return model
-    own = corpus.select("id", "text", normal_label(F.col("lang")).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    more = bounded_sample(own, "id", corpus_rows)
+    own = corpus.select("id", "text", normal_label(F.col("lang")).alias("lang"))
+    more = bounded_sample(own, "id", corpus_rows, "text IS NOT NULL AND lang IS NOT NULL")
     found = model.segments([r.text for r in more])
     whole = found.groupby("row").agg(lang=("lang", "nunique"), first=("lang", "first"), margin=("margin", "min"))
     for i, n, lang, margin in zip(whole.index, whole["lang"], whole["first"], whole["margin"]):

@@ -33,6 +33,8 @@ from lumiscript.llm.common import bounded_rows, folded
 PART, ONE_IN = 28, 9
 #: Words to one side of a hit that a bit-parallel column has room for.
 WIDEST = 64
+#: Hits that are held at once, about; the texts of a block are verified together.
+HELD = 2_000_000
 DROP = re.compile(r"[^\w\s]+|_")
 
 
@@ -144,7 +146,8 @@ def reach(pattern: np.ndarray, text: np.ndarray, budget: int) -> np.ndarray:
     out = np.zeros((n, budget + 1), np.int64)
     if not n or not m:
         return out
-    m = min(m, WIDEST)
+    if m > WIDEST:
+        raise ValueError(f"a pattern of {m} words, over {WIDEST}")
     bit = (np.uint64(1) << np.arange(m, dtype=np.uint64))[None, :]
     pv, mv = np.full(n, (1 << m) - 1, np.uint64), np.zeros(n, np.uint64)
     one = np.uint64(1)
@@ -257,11 +260,16 @@ def find(index: ItemIndex, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lo = np.searchsorted(h, own[seen])
         hi = np.searchsorted(h, own[seen], "right")
         n = hi - lo
-        at = np.repeat(seen, n)
-        k = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        r, j = verified(index, doc, start, (at, number[k], off[k]), size)
-        rows.append(r)
-        numbers.append(j)
+        # A piece of many items multiplies with its places; blocks of whole texts bound what is held at once.
+        text = np.searchsorted(start, seen, "right") - 1
+        block = np.cumsum(n) // HELD
+        edges = np.unique(np.searchsorted(text, text[np.flatnonzero(np.r_[True, block[1:] != block[:-1]])])) if len(seen) else []
+        for a, b in zip(edges, [*edges[1:], len(seen)]):
+            own_n = n[a:b]
+            k = np.repeat(lo[a:b] - np.r_[0, np.cumsum(own_n)[:-1]], own_n) + np.arange(own_n.sum())
+            r, j = verified(index, doc, start, (np.repeat(seen[a:b], own_n), number[k], off[k]), size)
+            rows.append(r)
+            numbers.append(j)
     pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(numbers)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 

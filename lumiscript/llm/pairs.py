@@ -35,7 +35,7 @@ from lumiscript.llm.weak import LabelModel, fit_patterns
 DEFECTS = {
     "empty": ["e_blank", "e_label", "e_short", "e_marks"],
     "truncated": ["t_trie", "t_torn", "t_short", "t_rare", "t_stop", "t_reason"],
-    "refusal": ["r_unable", "r_policy", "r_open", "r_share", "r_plain", "r_topic"],
+    "refusal": ["r_unable", "r_policy", "r_open", "r_share", "r_brief", "r_topic"],
     "copy": ["c_bag", "c_new", "c_pairs", "c_length"],
     "other_language": ["o_first", "o_last", "o_whole", "o_marks", "o_script"],
 }
@@ -88,7 +88,7 @@ def pair_votes(prompt: str | None, response: str | None) -> dict:
     v: dict[str, int | None] = {"e_blank": 0}
     rest = WORDS.findall(LABELS.sub(" ", f)) if len(words) < 12 else words
     v["e_label"] = int(not rest)
-    v["e_short"] = between(-len(words), -3, -8)
+    v["e_short"] = between(-len(words), -6, -10)
     v["e_marks"] = between(-sum(map(len, words)) / len(re.sub(r"\s+", "", f)), -0.5, -0.9)
     # Refusal: what counts is how much of the response refuses, not that it apologises.
     sentences = [x for x in SENTENCE.split(f) if WORDS.search(x)]
@@ -97,12 +97,12 @@ def pair_votes(prompt: str | None, response: str | None) -> dict:
     v["r_unable"], v["r_policy"], v["r_open"] = (1 if x else None for x in (any(unable), any(policy), opened))
     size = [len(WORDS.findall(x)) for x in sentences]
     v["r_share"] = between(sum(n for n, x, y in zip(size, unable, policy) if x or y) / len(words), 0.6, 0.4)
-    v["r_plain"] = int(len(words) <= 40 and not any(w[0].isdigit() for w in words))
+    v["r_brief"] = 0 if len(words) > 40 else 1 if opened else None
     q = WORDS.findall(plainly(plain_text(prompt))) if prompt else []
     if len(q) >= 3:
         own = {*q}
         cover = sum(w in own for w in words) / len(words)
-        v["r_topic"] = between(-cover, -0.2, -0.5)
+        v["r_topic"] = 0 if cover >= 0.5 else None  # it takes the question up
         v["c_bag"] = between(cover, 0.7, 0.6)
         v["c_new"] = between(-sum(w not in own for w in words), -4, -7)
         pairs = {*zip(q, q[1:])}

@@ -141,22 +141,23 @@ def repetition_measures(df: DataFrame, keys: list[str], text: str = "text") -> D
 
 
 def with_votes(m: DataFrame) -> DataFrame:
-    """The labelling functions: each votes at clear values of its measure and abstains between."""
+    """The labelling functions: each votes at clear values of its own measure and abstains between; none sees the share of all copies."""
 
     def vote(value: str, high: float, low: float):
         return F.when(F.col(value) >= high, 1).when(F.col(value) <= low, 0)
 
     return m.withColumns({
-        "v_units": F.when(F.greatest("sentence_share", "line_share", "paragraph_share") >= SHARE, 1).when(F.greatest("sentence_share", "line_share", "paragraph_share") == 0, 0),
+        "v_sentence": vote("sentence_share", SHARE, 0.0),
+        "v_line": vote("line_share", SHARE, 0.0),
+        "v_paragraph": vote("paragraph_share", SHARE, 0.0),
         "v_phrase": vote("phrase_share", SHARE, 0.0),
-        "v_total": vote("repeat_share", SHARE, 0.1),
-        "v_ngram": vote("ngram_share", 0.08, 0.015),
+        "v_ngram": F.when(F.col("n_words") >= 50, vote("ngram_share", 0.08, 0.015)),  # in a short text one gram twice is a large share
         "v_zipped": F.when(F.col("zipped") <= 0.3, 1).when(F.col("zipped") >= 0.42, 0),
         "v_pairs": F.when(F.col("distinct_pairs") <= 0.6, 1).when(F.col("distinct_pairs") >= 0.88, 0),
     })
 
 
-VOTES = ["v_units", "v_phrase", "v_total", "v_ngram", "v_zipped", "v_pairs"]
+VOTES = ["v_sentence", "v_line", "v_paragraph", "v_phrase", "v_ngram", "v_zipped", "v_pairs"]
 
 
 def repetitive(measures: DataFrame, prior: float = 0.1) -> DataFrame:

@@ -6,9 +6,11 @@ a line end, words with glyphs that scanning confuses, and counts of all words
 (summed within each batch). Then, all by joins:
 
 * skip-gram vectors are learned from the whole corpus (``Word2Vec``);
-* a rare word is linked to frequent words that plausible glyph edits turn it
-  into, and each occurrence takes the candidate whose vector is nearest to the
-  vectors of its neighbours;
+* a rare word is linked to the frequent words that plausible glyph edits, in any
+  number, turn it into (a join on a spelling in which all glyphs that are taken
+  for each other are equal), and each occurrence takes the candidate whose
+  vector suits the vectors of its neighbours best; it is misread only where the
+  candidate doesn't suit them clearly worse than any word of the corpus would;
 * a word cut at a line end is joined where the whole is a known word and the
   hyphen isn't the word's own;
 * a line is a running header where its form, digits aside, or its opening,
@@ -28,8 +30,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
@@ -61,12 +63,12 @@ def headline(line: str) -> tuple[str, bool, bool] | None:
     flat = re.sub(r"\s+", " ", body).strip()
     words = LETTERS.findall(re.sub(r"(?<=[^\W\d_])0|0(?=[^\W\d_])", "O", flat))
     n = sum(map(len, words))
-    if len(words) < 2 or n < 4 or len(flat) > 120:
+    if len(words) < 2 or n < 4:
         return None
     loud = flat.upper() == flat
     title = all(w[0].isupper() and w[1:].lower() == w[1:] for w in words) and flat[-1] not in ".;,:" and (len(words) >= 4 or any(c.isdigit() for c in flat))
     quiet = not (loud or title)
-    if quiet and not (flat[0].isupper() and 3 <= len(words) <= 16 and flat[-1] not in ".;:,!?" + HYPHEN):
+    if quiet and not (flat[0].isupper() and len(words) >= 3 and flat[-1] not in ".;:,!?" + HYPHEN):
         return None
     form = re.sub(r"\d+", "#", re.sub(r"(?<=[^\W\d_])0|0(?=[^\W\d_])", "O", flat).upper())
     return form, body.strip() != line.strip(), quiet
@@ -93,7 +95,7 @@ def layout(text: str) -> list[tuple[str, str]]:
 
 
 def label_form(line: str) -> str:
-    return re.sub(r"\d+", "#", line.strip().lower())[:80]
+    return re.sub(r"\d+", "#", line.strip().lower())
 
 
 def word_key(token: str) -> str:
@@ -195,68 +197,102 @@ def scan_notes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.mapInPandas(run, f"{types}, kind string, a string, b string, context array<string>, n bigint")
 
 
-def candidates(token: str, most: int = 3) -> list[str]:
-    """The words that undoing up to ``most`` glyph confusions makes of a token."""
-    places = [(m.start(), wrong, right) for wrong, right in GLYPHS for m in re.finditer(re.escape(wrong), token)]
-    out = set()
-    for k in range(1, most + 1):
-        for chosen in combinations(places[:12], k):
-            chosen = sorted(chosen)
-            if any(a[0] + len(a[1]) > b[0] for a, b in zip(chosen, chosen[1:])):
+def glyph_classes() -> dict[str, str]:
+    """Each character's spelling in the least glyphs: two texts are spelt alike where glyph edits lead from one to the other."""
+    same: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while c in same:
+            c = same[c]
+        return c
+
+    for wrong, right in GLYPHS:
+        if len(wrong) == 1 and top(wrong) != top(right):
+            same[top(wrong)] = top(right)
+    parts = {top(right): wrong for wrong, right in GLYPHS if len(wrong) == 2}
+
+    def spelt(c: str) -> str:
+        c = top(c)
+        return "".join(map(spelt, parts[c])) if c in parts else c
+
+    return {c: spelt(c) for c in {x for pair in GLYPHS for part in pair for x in part}}
+
+
+SPELLING = str.maketrans(glyph_classes())
+
+
+def glyph_edits(token: str, word: str) -> int | None:
+    """The least number of glyphs read wrongly that makes ``token`` of ``word``; null where none does."""
+    best: dict[tuple[int, int], int] = {(0, 0): 0}
+    for i in range(len(token)):
+        for j in range(len(word)):
+            if (n := best.get((i, j))) is None:
                 continue
-            word, at = "", 0
-            for start, wrong, right in chosen:
-                word += token[at:start] + right
-                at = start + len(wrong)
-            word += token[at:]
-            if word.isalpha():
-                out.add(word)
-    return sorted(out)
+            steps = [(i + 1, j + 1, n)] if token[i] == word[j] else []
+            steps += [(i + len(wrong), j + 1, n + 1) for wrong, right in GLYPHS if right == word[j] and token.startswith(wrong, i)]
+            for a, b, m in steps:
+                best[a, b] = min(best.get((a, b), m), m)
+    return best.get((len(token), len(word)))
 
 
 def glyph_links(notes: DataFrame, vocabulary: DataFrame, least: int = 10, ratio: int = 20) -> DataFrame:
-    """token, word, word_n: rare tokens and the frequent words that glyph edits make of them."""
+    """token, word, word_n, edits: rare tokens and the frequent words that glyph edits make of them."""
 
-    def run(batches):
+    def spelt(c: str):
+        def run(batches):
+            for pdf in batches:
+                yield pdf.assign(spelling=[t.translate(SPELLING) for t in pdf[c]])
+
+        return run
+
+    def verify(batches):
         for pdf in batches:
-            rows = [(t, w) for t in pdf["token"] for w in candidates(t)]
-            yield pd.DataFrame(rows, columns=["token", "word"])
+            yield pdf.assign(edits=pd.array([glyph_edits(t, w) for t, w in zip(pdf["token"], pdf["word"])], "Int32"))[["token", "word", "word_n", "edits"]]
 
-    tokens = notes.filter("kind = 'odd'").select(F.col("a").alias("token")).distinct()
-    pairs = tokens.mapInPandas(run, "token string, word string")
     own = vocabulary.select(F.col("w").alias("token"), F.col("n").alias("token_n"))
-    frequent = vocabulary.filter(F.col("n") >= least).select(F.col("w").alias("word"), F.col("n").alias("word_n"))
-    linked = pairs.join(frequent, "word").join(own, "token", "left").withColumn("token_n", F.coalesce("token_n", F.lit(0)))
-    return linked.filter(F.col("word_n") >= ratio * F.col("token_n")).select("token", "word", "word_n")
+    tokens = notes.filter("kind = 'odd'").select(F.col("a").alias("token")).distinct().join(own, "token", "left").select("token", F.coalesce("token_n", F.lit(0)).alias("token_n"))
+    frequent = vocabulary.filter(F.col("n") >= least).select(F.col("w").alias("word"), F.col("n").alias("word_n")).filter(F.col("word").rlike(r"^[\p{L}\p{M}]+$"))
+    pairs = tokens.mapInPandas(spelt("token"), "token string, token_n bigint, spelling string").join(frequent.mapInPandas(spelt("word"), "word string, word_n bigint, spelling string"), "spelling")
+    pairs = pairs.filter((F.col("word_n") >= ratio * F.col("token_n")) & (F.col("token") != F.col("word"))).select("token", "word", "word_n")
+    return pairs.mapInPandas(verify, "token string, word string, word_n bigint, edits int").filter("edits IS NOT NULL")
 
 
-def skip_gram(df: DataFrame, text: str, size: int = 16, least: int = 20) -> DataFrame:
-    """w, vector: skip-gram vectors of the frequent words, learned from all texts."""
+def skip_gram(df: DataFrame, text: str, vocabulary: DataFrame, size: int = 16, least: int = 20, max_vectors: int = 300_000) -> DataFrame:
+    """w, vector: skip-gram vectors of the frequent words, learned from all texts, about the mean vector and of length 1.
+
+    The vocabulary and its vectors are held by the driver, so ``max_vectors`` bounds them (40 MB); beyond it this raises.
+    """
+    spark = df.sparkSession
+    r = vocabulary.filter((F.col("n") >= least) & F.col("w").rlike(r"^\p{L}+$")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
+    if not r.words:  # the fit would fail on a corpus without a frequent word
+        return spark.createDataFrame([], "w string, vector array<double>")
+    if r.words > max_vectors:
+        raise ValueError(f"over {max_vectors} words occur {least} times")
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\s]+", " ")), r"\s+"), lambda w: w != "")
     rows = df.select(words.alias("words")).filter(F.size("words") > 1)
-    if rows.isEmpty():
-        return df.sparkSession.createDataFrame([], "w string, vector array<float>")
-    parts = max(1, min(64, df.sparkSession.sparkContext.defaultParallelism))
-    model = Word2Vec(inputCol="words", outputCol="v", vectorSize=size, windowSize=3, minCount=least, maxIter=1, numPartitions=parts, seed=11)
-    # A corpus without a frequent word has no vectors; the fit would fail on it.
-    if rows.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= least).isEmpty():
-        return df.sparkSession.createDataFrame([], "w string, vector array<float>")
-    from pyspark.ml.functions import vector_to_array
+    parts = max(1, min(64, spark.sparkContext.defaultParallelism), r.n // 2_000_000)
+    found = Word2Vec(inputCol="words", outputCol="v", vectorSize=size, windowSize=3, minCount=least, maxIter=1, numPartitions=parts, seed=11).fit(rows).getVectors().collect()
+    v = np.array([x.vector.toArray() for x in found])
+    v -= v.mean(0)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return spark.createDataFrame([(x.word, y.tolist()) for x, y in zip(found, v)], "w string, vector array<double>")
 
-    return model.fit(rows).getVectors().select(F.col("word").alias("w"), vector_to_array("vector", "float32").alias("vector"))
 
+def corrections(notes: DataFrame, links: DataFrame, vectors: DataFrame, keys: list[str], agree: float = -0.17) -> DataFrame:
+    """keys, token, word: for each misread token of a unit the candidate that suits its context best, unless its context speaks against it.
 
-def corrections(notes: DataFrame, links: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, token, word: for each misread token of a unit the candidate that suits its context best."""
+    ``agree`` is the mean cosine with six neighbours that a word taken at random,
+    whose vectors are about the mean, falls short of once in twenty times. A token whose candidate or neighbours have no vector has no context to speak
+    against it; the fewest edits and the most frequent candidate decide then.
+    """
     odd = notes.filter("kind = 'odd'").select(*keys, F.col("a").alias("token"), F.coalesce("context", F.array().cast("array<string>")).alias("context"))
-    hit = odd.join(links, "token")
-    near = hit.select(*keys, "token", "word", "word_n", F.explode_outer("context").alias("c"))
-    v = vectors.select(F.col("w"), "vector")
+    near = odd.join(links, "token").select(*keys, "token", "word", "word_n", "edits", F.explode_outer("context").alias("c"))
+    v = vectors.select("w", "vector")
     near = near.join(v.select(F.col("w").alias("word"), F.col("vector").alias("wv")), "word", "left").join(v.select(F.col("w").alias("c"), F.col("vector").alias("cv")), "c", "left")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("wv"), F.col("cv")) / F.greatest(F.sqrt(dot(F.col("wv"), F.col("wv")) * dot(F.col("cv"), F.col("cv"))), F.lit(1e-9))
-    scored = near.groupBy(*keys, "token", "word", "word_n").agg(F.coalesce(F.avg(cosine), F.lit(0.0)).alias("score"))
-    return scored.groupBy(*keys, "token").agg(F.max_by("word", F.struct("score", "word_n", "word")).alias("word"))
+    cosine = F.aggregate(F.zip_with("wv", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = near.groupBy(*keys, "token", "word", "word_n", "edits").agg(F.avg(cosine).alias("score"))
+    best = scored.groupBy(*keys, "token").agg(F.max_by(F.struct("word", "score"), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("edits"), "word_n", "word")).alias("best"))
+    return best.select(*keys, "token", "best.word", "best.score").filter(F.col("score").isNull() | (F.col("score") >= agree)).drop("score")
 
 
 def header_lines(notes: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -297,7 +333,7 @@ def noise(df: DataFrame, keys: list[str], text: str = "text", least: int = 3) ->
     bare = notes.filter("kind = 'bare'").select(*keys, F.col("a").alias("line"), F.col("b").alias("form")).join(tables, "form", "left_anti").select(*keys, "line")
     pages = notes.filter("kind = 'page'").select(*keys, F.col("a").alias("line")).unionByName(bare).distinct()
     # Misread words.
-    fixes = corrections(notes, glyph_links(notes, vocabulary), skip_gram(df, text), keys)
+    fixes = corrections(notes, glyph_links(notes, vocabulary), skip_gram(df, text, vocabulary), keys)
     return {"breaks": breaks, "headers": headers, "pages": pages, "fixes": fixes}
 
 

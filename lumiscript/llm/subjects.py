@@ -275,7 +275,7 @@ def transactions(labelled: DataFrame, drop: dict[str, set[str]] | None = None) -
             for s, t, x in zip(pdf["subject"], pdf["text"], pdf["lang"]):
                 out = drop.get(x, ())
                 rows += [["\0" + s, *own] for w in sentences(t) for r in runs(w) if (own := [i for i in r if i not in out])]
-            yield pd.DataFrame({"items": rows})
+            yield pd.DataFrame({"items": pd.Series(rows, dtype=object)})
 
     return labelled.select("subject", "text", "lang").mapInPandas(run, "items array<string>")
 
@@ -386,7 +386,7 @@ def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_row
         model = rules_model(mine(transactions(seeds([r for i, r in enumerate(known) if i % 5 != 4])), 3, 0.55, max_rules), subjects)
         scale = fit_scale(model, [r.text for r in held], [r.subject for r in held])
         return rules_model(mine(transactions(seeds(known)), 3, 0.55, max_rules), subjects, scale)
-    more = [r.text for r in bounded_sample(corpus.select("text").filter("text IS NOT NULL").distinct(), "text", corpus_rows)]
+    more = [r.text for r in bounded_sample(corpus.select("text"), "text", corpus_rows, "text IS NOT NULL", distinct=True)]
     # Words of a language's set phrases are in most of its documents, though few samples may have them; the first rules leave them out.
     own = {x: {i for r in known if r.lang == x for w in sentences(r.text) for i in w} for x in of_lang}
     spread = text_spread(corpus, set().union(*own.values()))

@@ -96,8 +96,30 @@ def test_scans_of_nothing(spark):
     assert scans.noise_kinds(found, ["unit_id"]).count() == 0 and scans.repaired(df, found, ["unit_id"]).count() == 0
 
 
-def test_glyph_candidates():
-    assert "phép" in scans.candidates("pliép") and "muốn" in scans.candidates("rnuốri") and scans.candidates("xyz") == []
+def test_glyph_edits():
+    """Edits in any number are counted, and texts that edits lead from one to the other are spelt alike."""
+    assert scans.glyph_edits("pliép", "phép") == 1 and scans.glyph_edits("rnuốri", "muốn") == 2 and scans.glyph_edits("phép", "pliép") is None
+    assert scans.glyph_edits("xyz", "xyz") == 0 and scans.glyph_edits("", "a") is None
+    rng = random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choice("mnhđdươêôâwutcgoilsb") for _ in range(rng.randint(1, 40)))
+        token, n = "", 0
+        for c in word:
+            wrong = [a for a, b in scans.GLYPHS if b == c]
+            if wrong and rng.random() < 0.6:
+                token, n = token + rng.choice(wrong), n + 1
+            else:
+                token += c
+        assert token.translate(scans.SPELLING) == word.translate(scans.SPELLING) and scans.glyph_edits(token, word) <= n
+
+
+def test_context_chooses_among_candidates(spark):
+    """Of two candidates the one that suits the neighbours is taken, and one that its context speaks against is none."""
+    notes = spark.createDataFrame([("u1", "odd", "cliện", ["đèn"]), ("u2", "odd", "cliện", ["mặt"]), ("u3", "odd", "rnai", ["mặt"]), ("u4", "odd", "rnai", None)], "unit_id string, kind string, a string, context array<string>")
+    links = spark.createDataFrame([("cliện", "điện", 10, 1), ("cliện", "diện", 90, 1), ("rnai", "mai", 50, 1)], "token string, word string, word_n bigint, edits int")
+    vectors = spark.createDataFrame([("đèn", [1.0, 0.0]), ("mặt", [0.0, 1.0]), ("điện", [1.0, 0.0]), ("diện", [0.0, 1.0]), ("mai", [0.6, -0.8])], "w string, vector array<double>")
+    got = {r.unit_id: r.word for r in scans.corrections(notes, links, vectors, ["unit_id"]).collect()}
+    assert got == {"u1": "điện", "u2": "diện", "u4": "mai"}
 
 
 # --- look-alikes --------------------------------------------------------------
@@ -312,16 +334,41 @@ def test_spread_counts_every_text_once(spark):
     """Against the slow way, over more texts than the bounded sample has, one of them in many copies."""
     rng = random.Random(9)
     texts = [topic_text(rng, rng.choice(sorted(TOPICS)), 3) for _ in range(300)] + ["Tiêu đề\nMột hai ba bốn năm. Hai.", "根据说明，两种文件并不相同。今年共有许多材料。", ""]
-    items = {i for t in texts[:200] + texts[300:] for w in subjects.sentences(t) for i in subjects.items_of(w)}
-    want = subjects.Counter(i for t in {*texts} for i in {i for w in subjects.sentences(t) for i in subjects.items_of(w)} & items)
+    items = {i for t in texts[:200] + texts[300:] for w in subjects.sentences(t) for i in w}
+    want = subjects.Counter(i for t in {*texts} for i in {i for w in subjects.sentences(t) for i in w} & items)
     df = spark.createDataFrame([(t,) for t in texts + [texts[0]] * 100 + [None]], "text string")
     assert subjects.text_spread(df, items) == want and subjects.text_spread(df, set()) == {}
     assert subjects.text_spread(df.limit(0), items) == {}
 
 
+def test_matching_against_brute_force():
+    """A rule matches a sentence if one of its runs has all the rule's words."""
+    rng = random.Random(5)
+    words = [f"w{i}" if i % 2 else chr(97 + i) * 2 for i in range(12)]
+    words = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words]
+    rules = [(tuple(sorted(rng.sample(words, k))), rng.randrange(2), 1.0) for k in (1, 2, 3) for _ in range(25)]
+    model = subjects.SubjectModel(["a", "b"], rules)
+    texts = [" ".join(" ".join(rng.choice(words) for _ in range(rng.randint(4, 17))) + "." for _ in range(3)) for _ in range(40)] + ["", None, "Một dòng\n"]
+    row, score, count = model.evidence(texts, matches=True)
+    want = []
+    for i, t in enumerate(texts):
+        for s in subjects.sentences(t) if t else ():
+            own = [{*r} for r in subjects.runs(s)]
+            want.append((i, [sum(any({*items} <= r for r in own) for items, x, _ in {*rules} if x == k) for k in (0, 1)]))
+    assert row.tolist() == [i for i, _ in want] and (count <= score + 1e-9).all()
+    assert [[int(v) for v in c] for c in count] == [c for _, c in want]
+
+
 def test_too_many_rules_raise(spark):
-    rows = [(s, [f"{s}{i % 4}", f"{s}{i % 3}x"]) for s in ("a", "b") for i in range(24)]
-    n = len(subjects.mine(spark, rows, 2, 0.55, 1000))
-    assert n > 2 and len(subjects.mine(spark, rows, 2, 0.55, n)) == n
+    rows = [["\0" + s, f"{s}{i % 4}", f"{s}{i % 3}x"] for s in ("a", "b") for i in range(24)]
+    frame = spark.createDataFrame([(r,) for r in rows], "items array<string>")
+    n = len(subjects.mine(frame, 2, 0.55, 1000))
+    assert n > 2 and len(subjects.mine(frame, 2, 0.55, n)) == n
     with pytest.raises(ValueError):
-        subjects.mine(spark, rows, 2, 0.55, n - 1)
+        subjects.mine(frame, 2, 0.55, n - 1)
+    assert subjects.mine(frame.limit(0), 2, 0.55, 10) == []
+
+
+def test_redundant_rules_are_pruned():
+    odds = {(("a",), "x"): (0.9, 2.0), (("a", "b"), "x"): (0.93, 2.2), (("b", "c"), "x"): (0.97, 3.0), (("b",), "x"): (0.8, 1.0), (("a", "b", "c"), "x"): (0.99, 4.0)}
+    assert {r[0] for r in subjects.pruned(odds, 10)} == {("a",), ("b",), ("b", "c")}
