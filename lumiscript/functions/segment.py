@@ -1,14 +1,17 @@
 """Splitting of glued Vietnamese words into syllables.
 
-A sequential cost search, so it runs in Python; but only over texts that are
-glued at all (the others never leave the JVM), and a word that was split once is
-looked up afterwards. The known syllables are learned from clean texts.
+The cheapest split of a word is a shortest path over its letters. It is found for
+many words at once: the prices of all pieces are one array (each different piece
+is priced once), and one pass over the positions settles a position of every
+word together. Only texts that are glued at all leave the JVM. The known
+syllables are learned from clean texts; a list of the caller's may be added.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,49 +21,62 @@ from lumiscript.functions import text as T
 PATTERN = re.compile(T.SYLLABLE, re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 MAX = T.MAX_SYLLABLE
-
-
-def valid(s: str) -> bool:
-    return 0 < len(s) <= MAX and bool(PATTERN.match(s))
-
-
-def cost(piece: str, known: frozenset[str]) -> float:
-    p = piece.lower()
-    return 1 if p in known else 4 if valid(p) else 15 + len(p)
-
-
-def segment(token: str, known: frozenset[str]) -> list[str]:
-    """The cheapest split into pieces of at most ``MAX`` letters; of equal ones that with the shortest last piece."""
-    n = len(token)
-    best, cut = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    for end in range(1, n + 1):
-        for size in range(1, min(MAX, end) + 1):
-            c = best[end - size] + cost(token[end - size : end], known)
-            if c < best[end]:
-                best[end], cut[end] = c, end - size
-    out, end = [], n
-    while end:
-        out.append(token[cut[end] : end])
-        end = cut[end]
-    return out[::-1]
-
-
-def glue(text: str) -> float:
-    w = WORD.findall(text)
-    return sum(not valid(x.lower()) for x in w) / len(w) if w else 0.0
-
-
-def split_glued(text: str, known: frozenset[str], cache: dict | None = None) -> str:
-    cache = {} if cache is None else cache
-
-    def one(m: re.Match) -> str:
-        w = m.group(0)
-        if w not in cache:
-            low = w.lower()
-            cache[w] = w if low in known or valid(low) and len(w) <= 4 else " ".join(segment(w, known))
-        return cache[w]
-
-    return WORD.sub(one, text)
+# The price of a known syllable, of a valid one, of another piece (and of each of its letters).
+KNOWN, VALID, OTHER = 1.0, 4.0, 15.0
+
+
+def valid_pieces(pieces: pd.Series) -> np.ndarray:
+    return (pieces.str.len() <= MAX).to_numpy() & pieces.map(lambda x: PATTERN.match(x) is not None).to_numpy(bool)
+
+
+def prices(pieces: np.ndarray, known: frozenset[str]) -> np.ndarray:
+    """The price of each piece; each different one is looked at once."""
+    number, names = pd.factorize(pieces)
+    low = pd.Series(names, dtype=object).str.lower()
+    price = np.where(low.isin(known), KNOWN, np.where(valid_pieces(low), VALID, OTHER + low.str.len()))
+    return price.astype(float)[number]
+
+
+def splits(tokens: list[str], known: frozenset[str], block: int = 2000) -> dict[str, list[str]]:
+    """The cheapest split of each token into pieces of at most ``MAX`` letters; of equal ones that with the shortest last piece."""
+    out: dict[str, list[str]] = {}
+    tokens = sorted({*tokens} - {""}, key=lambda t: (len(t), t))  # words of a block are about as long
+    for a in range(0, len(tokens), block):
+        part = tokens[a : a + block]
+        n, longest = len(part), len(part[-1])
+        at = [(i, end, size) for i, t in enumerate(part) for end in range(1, len(t) + 1) for size in range(1, min(MAX, end) + 1)]
+        i, end, size = np.array(at).T
+        price = np.full((n, longest + 1, MAX), np.inf)
+        price[i, end, size - 1] = prices(np.array([part[x][y - z : y] for x, y, z in at], dtype=object), known)
+        # Columns to the left of the first letter can't be reached.
+        total = np.full((n, MAX + longest + 1), np.inf)
+        total[:, MAX] = 0.0
+        last = np.zeros((n, longest + 1), np.int64)
+        for e in range(1, longest + 1):
+            way = total[:, MAX + e - 1 : e - 1 : -1] + price[:, e]
+            last[:, e] = way.argmin(1) + 1
+            total[:, MAX + e] = way.min(1)
+        for row, t in enumerate(part):
+            cuts = [len(t)]
+            while cuts[-1]:
+                cuts.append(cuts[-1] - int(last[row, cuts[-1]]))
+            out[t] = [t[x:y] for y, x in zip(cuts[:-1], cuts[1:])][::-1]
+    return out
+
+
+def kept_words(words: pd.Series, known: frozenset[str]) -> np.ndarray:
+    """Words that stay as they are: known ones, and valid ones of up to four letters."""
+    low = words.str.lower()
+    return low.isin(known).to_numpy() | (valid_pieces(low) & (words.str.len() <= 4).to_numpy())
+
+
+def separated(texts: pd.Series, known: frozenset[str]) -> pd.Series:
+    """The texts with each glued word split; the words of the whole batch are split together."""
+    words = pd.Series(sorted({w for t in texts.dropna() for w in WORD.findall(t)}), dtype=object)
+    if not len(words):
+        return texts
+    new = {w: " ".join(x) for w, x in splits(words[~kept_words(words, known)].tolist(), known).items()}
+    return texts.map(lambda t: WORD.sub(lambda m: new.get(m[0], m[0]), t) if isinstance(t, str) else t)
 
 
 def syllables(texts: DataFrame, text: str = "text", seed: list[str] | None = None, most: int = 50_000) -> frozenset[str]:
@@ -77,8 +93,7 @@ def desegmented(texts: DataFrame, known: frozenset[str], text: str = "text", lea
 
     @F.pandas_udf("string")
     def fix(s: pd.Series) -> pd.Series:
-        cache: dict = {}
-        return s.map(lambda t: split_glued(t, bc.value, cache) if isinstance(t, str) else t)
+        return separated(s, bc.value)
 
     rows = texts.withColumn("glue_before", T.glue_ratio(F.col(text)))
     glued = F.coalesce(F.col("glue_before") >= least, F.lit(False))

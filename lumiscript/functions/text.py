@@ -119,22 +119,33 @@ def foreign_script_hits(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(FOREIGN), F.lit(0))
 
 
-def english_runs(text: Column, least: int = 3) -> Column:
-    """Runs of at least ``least`` English function words, in order."""
-    kept = F.transform(words(text), lambda w: F.when(F.lower(w).isin(ENGLISH), F.lower(w)).otherwise("|"))
+def english_runs_of(tokens: Column, least: int = 3) -> Column:
+    """Runs of at least ``least`` English function words among lower-case tokens, in order."""
+    kept = F.transform(tokens, lambda w: F.when(w.isin(ENGLISH), w).otherwise("|"))
     parts = F.transform(F.split(F.array_join(kept, " "), r"\|"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: (p != "") & (F.size(F.split(p, " ")) >= least))
 
 
+def english_runs(text: Column, least: int = 3) -> Column:
+    """Runs of at least ``least`` English function words, in order."""
+    return english_runs_of(words(F.lower(text)), least)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens; empty where there are fewer."""
     at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def most_frequent(sorted_items: Column) -> Column:
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n tokens, in order of the runs; empty where there are fewer."""
+    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, n)))
+
+
+def most_frequent(sorted_items: Column, kind: str = "string") -> Column:
     """How often the most frequent element of a sorted array occurs: one fold, linear in the array."""
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+    zero = F.struct(F.lit(None).cast(kind).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
 
     def step(s: Column, x: Column) -> Column:
         n = F.when(s["last"] == x, s["n"] + 1).otherwise(F.lit(1))
@@ -143,14 +154,15 @@ def most_frequent(sorted_items: Column) -> Column:
     return F.aggregate(sorted_items, zero, step, lambda s: s["most"])
 
 
-def max_ngram_repeat(text: Column, n: int = 5) -> Column:
-    """Share of the most frequent n-gram; 0 under 2n words."""
+def ngram_share(tokens: Column, n: int = 5) -> Column:
+    """Share of the most frequent n-gram of lower-case tokens; 0 under 2n of them."""
+    top = most_frequent(F.sort_array(gram_hashes(tokens, n)), "bigint")
+    return F.when(F.size(tokens) >= 2 * n, top.cast("double") / (F.size(tokens) - (n - 1))).otherwise(0.0)
 
-    def share(tokens: Column) -> Column:
-        grams = F.array_sort(ngrams(tokens, n))
-        return F.when(F.size(tokens) >= 2 * n, most_frequent(grams).cast("double") / (F.size(tokens) - (n - 1))).otherwise(0.0)
 
-    return let(words(F.lower(text)), share)
+def max_ngram_repeat(text: Column, n: int = 5) -> Column:
+    """Share of the most frequent n-gram; 0 under 2n words."""
+    return let(words(F.lower(text)), lambda tokens: ngram_share(tokens, n))
 
 
 def stripped_lines(text: Column) -> Column:

@@ -35,10 +35,20 @@ def suspicious_tokens(lex: DataFrame, least: int = 2) -> DataFrame:
     return per.filter(F.col("has_marked") & (F.coalesce("bare", F.lit(0)) < least)).select(F.col("folded").alias("token"))
 
 
-def tone_loss(texts: DataFrame, lex: DataFrame, keys: list[str], text: str = "text", least: int = 2) -> DataFrame:
-    """keys, tokens: the suspicious tokens of each text in order, repeats kept; texts without any are left out."""
+def tone_loss(texts: DataFrame, lex: DataFrame, keys: list[str], text: str = "text", least: int = 2, small: int = 200_000) -> DataFrame:
+    """keys, tokens: the suspicious tokens of each text in order, repeats kept; texts without any are left out.
+
+    The suspicious tokens are words of one language that always have marks, and
+    few; up to ``small`` of them go to the texts, so no token of a text is
+    shuffled. Beyond that the tokens are joined where they lie.
+    """
+    rows = suspicious_tokens(lex, least).limit(small + 1).collect()
+    if len(rows) <= small:
+        suspects = F.broadcast(lex.sparkSession.createDataFrame([(r.token,) for r in rows], "token string"))
+    else:
+        suspects = suspicious_tokens(lex, least)
     w = texts.select(*keys, F.posexplode(T.words(F.col(text))).alias("pos", "word")).withColumn("token", F.lower("word"))
-    hit = w.join(suspicious_tokens(lex, least), "token")
+    hit = w.join(suspects, "token")
     return hit.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]).alias("tokens"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,40 +18,59 @@ SEED = 20260825
 def quotas(sizes: dict[str, int], target: int, least: int = 5) -> dict[str, int]:
     """Rows to draw from each stratum: by its share, at least ``least`` and at most all of it, adding up to the target.
 
-    What is over comes off the largest quota, what is missing goes to the
-    stratum that is least filled; ties by name.
+    What is over is cut off the top: to the highest level at which it is gone,
+    and one row more by name where that isn't enough. What is missing goes to
+    the strata that are least filled, from a heap; ties by name.
     """
-    total = sum(sizes.values())
-    if target >= total:
+    names = sorted(sizes)
+    n = np.array([sizes[s] for s in names], np.int64)
+    if target >= n.sum():
         return dict(sizes)
-    out = {s: min(n, max(least, min(n, round(target * n / total)))) for s, n in sizes.items()}
-    while sum(out.values()) > target:
-        free = [s for s in sorted(out) if out[s] > min(least, sizes[s])]
-        if not free:
-            break
-        s = max(free, key=lambda x: out[x])
-        out[s] -= 1
-    while sum(out.values()) < target:
-        free = [s for s in sorted(out) if out[s] < sizes[s]]
-        if not free:
-            break
-        s = min(free, key=lambda x: out[x] / sizes[x])
-        out[s] += 1
-    return out
+    low = np.minimum(n, least)
+    q = np.clip(np.array([round(target * int(x) / int(n.sum())) for x in n]), low, n)
+    over = int(q.sum()) - target
+    if over > 0:
+        above = lambda level: int((q - np.maximum(np.minimum(q, level), low)).sum())
+        level = bisect.bisect_left(range(int(q.max()) + 1), True, key=lambda v: above(v) <= over)
+        over -= above(level)
+        q = np.maximum(np.minimum(q, level), low)
+        q[np.flatnonzero((q == level) & (q > low))[:over]] -= 1
+    heap = [(q[i] / n[i], i) for i in range(len(q)) if q[i] < n[i]]
+    heapq.heapify(heap)
+    for _ in range(target - int(q.sum())):
+        _, i = heapq.heappop(heap)
+        q[i] += 1
+        if q[i] < n[i]:
+            heapq.heappush(heap, (q[i] / n[i], i))
+    return dict(zip(names, q.tolist()))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, target: int, least: int = 5, seed: int = SEED, strata: int = 10_000) -> DataFrame:
-    """A sample of ``target`` rows by strata. The table of strata (its size is checked) is settled on the driver; the draw is a window."""
+    """A sample of ``target`` rows by strata. The table of strata (its size is checked) is settled on the driver; the draw is a window.
+
+    The draw is even, so a cut a little above a stratum's share leaves about its
+    quota before anything is shuffled or ordered; should a stratum be left with
+    fewer rows than its quota, nothing is cut.
+    """
     name = F.coalesce(F.col(stratum).cast("string"), F.lit("UNKNOWN"))
-    table = rows.groupBy(name.alias("s")).agg(F.count("*").alias("n")).limit(strata + 1).collect()
-    if len(table) > strata:
-        raise ValueError(f"over {strata} strata")
-    q = quotas({r.s: r.n for r in table}, target, least)
-    spark = rows.sparkSession
-    want = spark.createDataFrame(sorted(q.items()) or [("", 0)], "_s string, _q bigint")
+
+    def counts(df: DataFrame) -> dict[str, int]:
+        table = df.groupBy("_s").agg(F.count("*").alias("n")).limit(strata + 1).collect()
+        if len(table) > strata:
+            raise ValueError(f"over {strata} strata")
+        return {r["_s"]: r.n for r in table}
+
+    named = rows.withColumn("_s", name)
+    sizes = counts(named)
+    q = quotas(sizes, target, least)
+    cut = {s: min(1.0, (k + 6 * math.sqrt(k) + 20) / sizes[s]) for s, k in q.items()}
+    want = rows.sparkSession.createDataFrame([(s, k, int(cut[s] * 2**32)) for s, k in sorted(q.items())] or [("", 0, 0)], "_s string, _q bigint, _cut bigint")
+    drawn_rows = named.withColumn("_d", drawn(seed, key)).join(F.broadcast(want), "_s")
+    few = drawn_rows.filter(F.conv(F.left("_d", F.lit(8)), 16, 10).cast("bigint") <= F.col("_cut"))
+    left = counts(few)
     w = Window.partitionBy("_s").orderBy("_d", key)
-    picked = rows.withColumn("_s", name).withColumn("_d", drawn(seed, key)).join(F.broadcast(want), "_s").withColumn("_rn", F.row_number().over(w)).filter("_rn <= _q")
-    return picked.drop("_s", "_q", "_d", "_rn")
+    picked = (few if all(left.get(s, 0) >= k for s, k in q.items()) else drawn_rows).withColumn("_rn", F.row_number().over(w)).filter("_rn <= _q")
+    return picked.drop("_s", "_q", "_d", "_rn", "_cut")
 
 
 def coverage(sample: DataFrame, population: DataFrame, stratum: str) -> DataFrame:

@@ -199,6 +199,18 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], ref: str = "ref", cmp: str
     return g.withColumn("_c", bounds("down", "up", "same")).select(*by, "_c.ci_low", "_c.ci_high")
 
 
+def cell_bootstrap(rows: DataFrame, by: list[str], cells: dict[str, Column], statistic, times: int = 2000, seed: int = SEED) -> DataFrame:
+    """by, ci_low, ci_high of a statistic of the user's: a vectorised function of resampled counts of the cells (times x cells)."""
+    names = list(cells)
+    g = rows.groupBy(*by).agg(*[F.count_if(c).alias(k) for k, c in cells.items()])
+
+    @F.pandas_udf("struct<ci_low:double,ci_high:double>")
+    def bounds(c: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([resampled(np.array(r), statistic, times, seed) for r in c[names].itertuples(index=False)], columns=["ci_low", "ci_high"])
+
+    return g.withColumn("_c", bounds(F.struct(*names))).select(*by, "_c.ci_low", "_c.ci_high")
+
+
 def flip_bootstrap(pairs: DataFrame, by: list[str], ref: str = "ref_pred", cmp: str = "cmp_pred", times: int = 2000, seed: int = SEED) -> DataFrame:
     g = flip_rate(pairs, by, ref, cmp)
 
@@ -209,6 +221,15 @@ def flip_bootstrap(pairs: DataFrame, by: list[str], ref: str = "ref_pred", cmp:
     return g.withColumn("_c", bounds("n", "n_flip")).select(*by, "n", "n_flip", "flip_rate", "_c.ci_low", "_c.ci_high")
 
 
+def matched_pairs(ref: DataFrame, cmp: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and both sides' columns, one row for each item; raises unless both sides have exactly the same items once each."""
+    both = ref.withColumn("_r", F.lit(1)).join(cmp.withColumn("_c", F.lit(1)), keys, "full")
+    odd = both.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_r").alias("r"), F.count("_c").alias("c")).filter("n <> 1 OR r <> 1 OR c <> 1").limit(1).count()
+    if odd:
+        raise ValueError("the two sides don't have the same items")
+    return both.drop("_r", "_c")
+
+
 def paired_significance(items: DataFrame, item: str = "item_id", model: str = "model", precision: str = "precision", ok: str = "ok", reference: str = "bf16", times: int = 5000) -> DataFrame:
     """The paired test of each precision against the reference over the same items, with bounds and corrections over all tests.
 
@@ -227,15 +248,42 @@ def paired_significance(items: DataFrame, item: str = "item_id", model: str = "m
     return fits.join(out, by, "left")
 
 
+def exact_ranks(rows: DataFrame, by: list[str], ranks: dict[str, Column], buckets: int = 200) -> DataFrame:
+    """by, measure, name, value: the values at given ranks of each group, whatever the size of a group.
+
+    ``rows`` has measure and value beside ``by``; ``ranks`` gives names of ranks
+    (from 0) in terms of n. A sketch cuts each group into buckets of values; the
+    buckets' counts tell in which one a rank lies, and only the different values
+    of that bucket, counted, are put in order.
+    """
+    keys = [*by, "measure"]
+    share = [i / buckets for i in range(1, buckets)]
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", share, 10 * buckets).alias("_e"))
+    placed = rows.join(F.broadcast(edges), keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("value")))).drop("_e")
+    counts = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.withColumn("_before", before).withColumn("n", F.sum("_n").over(w))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]))
+    wanted = spans.withColumn("_r", asked).select(*keys, "_b", "_before", "_n", "_r.name", "_r.rank").filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+    wanted = F.broadcast(wanted.withColumn("rank", F.col("rank") - F.col("_before")).drop("_before", "_n"))  # a row for each group and rank
+    own = placed.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "value").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("value"))
+    return own.withColumn("_upto", upto).join(wanted, [*keys, "_b"]).filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c"))).select(*keys, "name", "value")
+
+
 def latency_summary(runs: DataFrame, by: str, ttft: str = "ttft_ms", total: str = "total_ms", tokens: str = "n_output_tokens") -> DataFrame:
-    """Medians, and the value at index floor(0.95 n) of the sorted times."""
+    """Medians, and the value at index floor(0.95 n) of the sorted times; no group is put in order in one task."""
     gen = F.greatest(F.col(total) - F.col(ttft), F.lit(1e-6))
     several = F.col(tokens) > 1
-    rows = runs.withColumn("_tps", F.when(several, (F.col(tokens) - 1) / (gen / 1000)).otherwise(0.0)).withColumn("_tpot", F.when(several, (F.col(total) - F.col(ttft)) / (F.col(tokens) - 1)).otherwise(0.0))
-    w = Window.partitionBy(by)
-    rows = rows.withColumn("_rn", F.row_number().over(w.orderBy(ttft)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.least(F.col("_n") - 1, F.floor(0.95 * F.col("_n")))
-    return rows.groupBy(by).agg(F.count("*").alias("n_runs"), F.round(F.percentile(ttft, F.lit(0.5)), 2).alias("ttft_ms_median"), F.round(F.max(F.when(F.col("_rn") == at, F.col(ttft))), 2).alias("ttft_ms_p95"), F.round(F.percentile("_tpot", F.lit(0.5)), 2).alias("tpot_ms_median"), F.round(F.percentile("_tps", F.lit(0.5)), 2).alias("tokens_per_s_median"))
+    measures = {"ttft": F.col(ttft).cast("double"), "tps": F.when(several, (F.col(tokens) - 1) / (gen / 1000)).otherwise(0.0), "tpot": F.when(several, (F.col(total) - F.col(ttft)) / (F.col(tokens) - 1)).otherwise(0.0)}
+    rows = runs.select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures.items()])).alias("_m")).select(by, "_m.measure", "_m.value").filter("value IS NOT NULL")
+    n = F.col("n")
+    found = exact_ranks(rows, [by], {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.least(n - 1, F.floor(0.95 * n))})
+    at = lambda m, k: F.max(F.when((F.col("measure") == m) & (F.col("name") == k), F.col("value")))
+    median = lambda m: F.round((at(m, "low") + at(m, "high")) / 2, 2)
+    out = found.groupBy(by).agg(median("ttft").alias("ttft_ms_median"), F.round(at("ttft", "p95"), 2).alias("ttft_ms_p95"), median("tpot").alias("tpot_ms_median"), median("tps").alias("tokens_per_s_median"))
+    return runs.groupBy(by).agg(F.count("*").alias("n_runs")).join(out, by, "left")
 
 
 def mixed_machines(runs: DataFrame, model: str = "model", precision: str = "precision", machine: str = "machine") -> DataFrame:

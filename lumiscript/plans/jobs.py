@@ -112,7 +112,7 @@ def answer_questions(questions: DataFrame, units: DataFrame, index: retrieval.Le
     return out.withColumn("reason", reason).withColumn("blocked", reason.isNotNull())
 
 
-def latency_change(run: DataFrame, units: DataFrame, amendments: DataFrame, before: str, after: str) -> DataFrame:
+def context_change(run: DataFrame, units: DataFrame, amendments: DataFrame, before: str, after: str) -> DataFrame:
     """query_id of the questions whose context differs between two dates."""
     a = amend.augmented_context(run, units, amendments, before).select("query_id", F.col("context").alias("a"))
     b = amend.augmented_context(run, units, amendments, after).select("query_id", F.col("context").alias("b"))

@@ -40,8 +40,10 @@ def r6(c) -> object:
 
 
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.words(t)).cast("bigint").alias("n_words"), r6(T.diacritic_ratio(t)).alias("diacritic_ratio"), r6(T.max_ngram_repeat(t)).alias("max_ngram_repeat"), r6(T.max_line_repeat(t)).alias("max_line_repeat"), F.size(T.english_runs(t)).cast("bigint").alias("n_english_runs"), F.size(T.foreign_script_hits(t)).cast("bigint").alias("n_foreign"), T.looks_truncated(t).alias("truncated"))
+    """The words are cut out once, in a projection of their own that the measures share."""
+    t, w = F.col("text"), F.col("w")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", T.words(F.lower(t)).alias("w"))
+    return rows.select("doc_id", F.size(w).cast("bigint").alias("n_words"), r6(T.diacritic_ratio(t)).alias("diacritic_ratio"), r6(F.when(t.isNotNull(), T.ngram_share(w))).alias("max_ngram_repeat"), r6(T.max_line_repeat(t)).alias("max_line_repeat"), F.size(T.english_runs_of(w)).cast("bigint").alias("n_english_runs"), F.size(T.foreign_script_hits(t)).cast("bigint").alias("n_foreign"), T.looks_truncated(t).alias("truncated"))
 
 
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_amendments(spark):
     after = amend.augmented_context(run, units, a, "2026-08-20").first()
     assert before.context == "Điều sáu\n\n---\n\nKhông" and after.context.startswith("Điều sáu\n\n[SỬA ĐỔI bởi N2")
     assert amend.augmented_context(run, units, a, "2026-08-01", budget=10).first().n_units == 1
-    assert [r.query_id for r in jobs.latency_change(run, units, a, "2026-08-01", "2026-08-20").collect()] == ["q"]
+    assert [r.query_id for r in jobs.context_change(run, units, a, "2026-08-01", "2026-08-20").collect()] == ["q"]
 
 
 def test_units(spark):

@@ -111,6 +111,27 @@ def test_agreement(spark):
     assert A.ac1_of(x)[0] == pytest.approx(got.ac1) and A.kappa_of(x)[0] == pytest.approx(got.kappa)
 
 
+def test_quotas_step_by_step():
+    """Against the rule taken one row at a time."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        sizes = {f"s{i}": rng.randint(1, 60) for i in range(rng.randint(1, 9))}
+        target, least = rng.randint(1, 120), rng.randint(0, 6)
+        got = S.quotas(sizes, target, least)
+        total = sum(sizes.values())
+        if target >= total:
+            assert got == sizes
+            continue
+        want = {s: min(n, max(least, round(target * n / total))) for s, n in sizes.items()}
+        while sum(want.values()) > target and (free := [s for s in sorted(want) if want[s] > min(least, sizes[s])]):
+            want[sorted(free, key=lambda s: -want[s])[0]] -= 1
+        while sum(want.values()) < target:
+            want[sorted((s for s in sorted(want) if want[s] < sizes[s]), key=lambda s: want[s] / sizes[s])[0]] += 1
+        assert got == want
+
+
 def test_quotas():
     sizes = {f"s{i}": 20 + 7 * i for i in range(58)}
     q = S.quotas(sizes, 2000)

@@ -134,9 +134,31 @@ def test_chunks(spark):
 
 def test_segment(spark):
     known = frozenset("người điều khiển xe trên đường bộ".split())
-    assert segment.segment("ngườiđiềukhiển", known) == ["người", "điều", "khiển"]
+    assert segment.splits(["ngườiđiềukhiển", "", "an"], known) == {"ngườiđiềukhiển": ["người", "điều", "khiển"], "an": ["an"]}
     df = spark.createDataFrame([(1, "ngườiđiềukhiểnxetrênđườngbộ ngườiđiều"), (2, "xe trên đường"), (3, None), (4, "")], "i int, text string")
     got = {r.i: r.text for r in segment.desegmented(df, known).collect()}
     assert got == {1: "người điều khiển xe trên đường bộ người điều", 2: "xe trên đường", 3: None, 4: ""}
     assert "xe" in segment.syllables(df)
-    assert "".join(segment.segment("abcđường", known)) == "abcđường"
+    assert "".join(segment.splits(["abcđường"], known)["abcđường"]) == "abcđường"
+
+
+def test_splits_against_every_split():
+    """The price and the ties of the cheapest split against all splits of short words."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    known = frozenset(["an", "na", "ban", "a", "nga"])
+    words = {"".join(rng.choice("abngđ") for _ in range(rng.randint(1, 9))) for _ in range(150)}
+
+    def price(p):
+        return 1 if p in known else 4 if segment.PATTERN.match(p) and len(p) <= 7 else 15 + len(p)
+
+    for w, got in segment.splits(list(words), known).items():
+        every = []
+        for k in range(len(w)):
+            for cuts in itertools.combinations(range(1, len(w)), k):
+                parts = [w[a:b] for a, b in zip((0, *cuts), (*cuts, len(w)))]
+                if max(map(len, parts)) <= 7:
+                    every.append((sum(map(price, parts)), [len(p) for p in parts[::-1]], parts))
+        assert got == min(every, key=lambda x: x[:2])[2], w
