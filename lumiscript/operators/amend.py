@@ -41,5 +41,10 @@ def augmented_context(run: DataFrame, units: DataFrame, amendments: DataFrame, a
     return kept.groupBy("query_id").agg(F.array_join(parts, "\n\n---\n\n").alias("context"), F.count("*").alias("n_units"))
 
 
+def affected_units(amendments: DataFrame) -> DataFrame:
+    """target_unit_id, n: the units that amendments are about, with how many each has; a count, so a much amended unit is one row."""
+    return amendments.filter("target_unit_id IS NOT NULL").groupBy("target_unit_id").agg(F.count("*").alias("n"))
+
+
 def amendment_stats(amendments: DataFrame) -> DataFrame:
     return amendments.agg(F.count("*").alias("n_amendments"), F.countDistinct("target_unit_id").alias("n_targets"))

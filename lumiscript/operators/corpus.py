@@ -110,7 +110,7 @@ def choices(frame: DataFrame) -> Column:
 def answer_index(frame: DataFrame) -> Column:
     """The index of the right choice, from a letter or a number."""
     kinds = dict(frame.dtypes)
-    given = [F.nullif(strip(F.col(c).cast("string")), F.lit("")) for c in ("answer", "answer_key", "label") if c in kinds]
+    given = [F.nullif(strip(F.col(c).cast("string")), F.lit("")) for c in ("answer", "answer_key", "gold", "label", "correct") if c in kinds]
     a = F.upper(F.coalesce(*given)) if given else F.lit(None).cast("string")
     at = F.array_position(F.array(*[F.lit(x) for x in LETTERS]), F.left(a, F.lit(1)))
     return F.when(at > 0, at - 1).otherwise(F.when(a.rlike(r"^\d+$"), a.cast("bigint")))
@@ -148,10 +148,10 @@ def random_baseline(n_choices: DataFrame, n: str = "n_choices", default: float =
 
 
 def best_extraction(versions: DataFrame, key: str = "file", text: str = "text", by: str = "glue") -> DataFrame:
-    """Of several extractions of a file, the one with the least glued words (``glue``) or the longest (``length``)."""
+    """Of several extractions of a file, the one with the least glued words (``glue``) or the longest (``length``); ties go to the longer and then to the first text."""
     from lumiscript.functions.text import glue_ratio
 
     order = glue_ratio(F.col(text)) if by == "glue" else -F.length(text)
-    return versions.groupBy(key).agg(F.min_by(F.struct(*[c for c in versions.columns if c != key]), F.struct(order, F.xxhash64(text))).alias("_b")).select(key, "_b.*")
+    return versions.groupBy(key).agg(F.min_by(F.struct(*[c for c in versions.columns if c != key]), F.struct(order, -F.length(text), F.col(text))).alias("_b")).select(key, "_b.*")
 
 

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from lumiscript.functions.text import BROKEN_LEAD, CONFUSED, ENGLISH, MARKED, ONSETS, VOWELS, CODAS, mark_table
-from lumiscript.operators.detect import CODES
-from lumiscript.operators.sample import SEED
+import unicodedata
 
+# Fixed values, written out here so that a wrong one in the operators shows.
+CODES = ("E1", "E2", "E3", "E4", "E5", "E6")
+SEED = 20260825
+MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
+BROKEN_LEAD = "ÃÂÆÄÅÐÑ"
+ENGLISH = ("the", "and", "of", "to", "in", "is", "are", "that", "this", "with", "for", "as", "was", "be", "have", "has", "you", "your", "which", "according", "therefore", "however", "please", "note", "answer", "question", "based", "following", "must", "should", "can", "will")
+CONFUSED = ("cấp đổi", "cấp lại", "tạm giữ", "tước quyền sử dụng", "phạt tiền", "phạt bổ sung", "giấy phép lái xe", "giấy đăng ký xe", "đăng ký lần đầu", "đăng ký sang tên", "kiểm định", "đăng kiểm lại", "biển số định danh", "biển số trúng đấu giá")
+ONSETS = ("nghi", "ngh", "ch", "gh", "gi", "kh", "ng", "nh", "ph", "qu", "th", "tr", "b", "c", "d", "đ", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "x")
+VOWELS = "aàáảãạăằắẳẵặâầấẩẫậeèéẻẽẹêềếểễệiìíỉĩịoòóỏõọôồốổỗộơờớởỡợuùúủũụưừứửữựyỳýỷỹỵ"
+CODAS = ("ch", "ng", "nh", "c", "m", "n", "p", "t")
+COMBINING = "\u0300\u0301\u0303\u0309\u0323\u0302\u0306\u031b"
+
+
+def unmarked(c: str) -> str:
+    """A letter without the eight marks of Vietnamese."""
+    left = "".join(x for x in unicodedata.normalize("NFD", c) if x not in COMBINING)
+    return unicodedata.normalize("NFC", left).replace("đ", "d").replace("Đ", "D")
+
+
+LETTERS = [c for c in map(chr, range(0xC0, 0x1F00)) if len(unmarked(c)) == 1 and unmarked(c) != c and unicodedata.normalize("NFC", c) == c]
 ONCE_GEN = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY ingested_at) AS rn FROM generations) WHERE rn = 1)"
 ONCE_ART = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY collected_at) AS rn FROM articles) WHERE rn = 1)"
 ONCE_PROC = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY collected_at) AS rn FROM procedures) WHERE rn = 1)"
@@ -55,9 +73,7 @@ def truncated(t: str) -> str:
 
 
 def fold(t: str) -> str:
-    a, b = mark_table()
-    marks = "".join(map(chr, (0x300, 0x301, 0x303, 0x309, 0x323, 0x302, 0x306, 0x31B)))
-    return f"lower(translate({t}, '{a + marks}', '{b}'))"
+    return f"lower(translate({t}, '{''.join(LETTERS) + COMBINING}', '{''.join(map(unmarked, LETTERS))}'))"
 
 
 SYLLABLE = f"(?i)^(?:{'|'.join(ONSETS)})?[{VOWELS}]{{1,3}}(?:{'|'.join(CODAS)})?$"
@@ -151,7 +167,7 @@ SQL = {
     "confusion_counts": f"SELECT tag, term, count(*) AS n FROM (SELECT tag, unnest(list_filter([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in CONFUSED)}], lambda p: contains(lower(output), p))) AS term FROM {ONCE_GEN} WHERE output IS NOT NULL) GROUP BY ALL",
     "scan_triage": f"""WITH t AS (SELECT text, ceil(length(text) / 1800.0) AS pages, length(regexp_replace(regexp_replace(text, '(?im)^.*(?:Người ký|Thời gian ký|Email:|Cơ quan:)\\s*:?.*$', '', 'g'), '{SPACE}+', '', 'g')) AS n FROM {ONCE_PROC})
  SELECT CASE WHEN coalesce(n / nullif(pages, 0), n) < 200 THEN 'SCAN' WHEN {glue('text')} >= 0.25 THEN 'GLUED' ELSE 'CLEAN' END AS verdict, count(*) AS n FROM t GROUP BY 1""",
-    "question_crosscheck": f"""WITH k AS (SELECT source_of_question AS s, sha1(lower(regexp_replace({strip('question')}, '{SPACE}+', ' ', 'g'))) AS k, max(question_type) AS v FROM {ONCE_QA} WHERE source_of_question IS NOT NULL AND question IS NOT NULL AND question_type <> '' GROUP BY 1, 2),
+    "question_crosscheck": f"""WITH k AS (SELECT source_of_question AS s, sha1(lower(regexp_replace({strip('left(question, 16)')}, '{SPACE}+', ' ', 'g'))) AS k, max(question_type) AS v FROM {ONCE_QA} WHERE source_of_question IS NOT NULL AND question IS NOT NULL AND question_type <> '' GROUP BY 1, 2),
  g AS (SELECT a.s AS a, b.s AS b, count(*) AS n_common, count(*) FILTER (a.v = b.v) AS n_agree FROM k a JOIN k b ON a.k = b.k AND a.s < b.s GROUP BY 1, 2)
  SELECT a, b, n_common, n_agree, round(n_agree / CAST(n_common AS DOUBLE), 4) AS rate, CASE WHEN n_agree / CAST(n_common AS DOUBLE) >= 0.99 THEN 'match' WHEN n_agree / CAST(n_common AS DOUBLE) >= 0.95 THEN 'slight mismatch' ELSE 'mismatch' END AS verdict FROM g""",
     "parse_procedures": f"""WITH p AS (SELECT DISTINCT unit_id, text FROM procedures WHERE text IS NOT NULL), l AS (SELECT unit_id, text, string_split(text, chr(10)) AS l FROM p),
@@ -169,7 +185,7 @@ SQL = {
  SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_articles, CAST(sum(coalesce(len(khoan), 0)) AS BIGINT) AS n_clauses, CAST(coalesce(sum(list_sum(list_transform(khoan, lambda k: len(k.diem)))), 0) AS BIGINT) AS n_points, round(avg(length(text)), 1) AS mean_chars, any_value(n_signs) AS n_signs FROM a, b""",
     "corpus_verify": f"""WITH p AS (SELECT doc_id, dieu, count(*) AS n, count(*) FILTER (coalesce(length(text), 0) < 80) AS thin, sum(coalesce(length(text), 0)) AS chars, sum(coalesce(len({words('text')}), 0)) AS w, sum(coalesce({odd_words('text')}, 0)) AS odd, CAST(coalesce(nullif(regexp_extract(dieu, '^(\\d{{1,6}})', 1), ''), '0') AS INT) AS no FROM articles GROUP BY doc_id, dieu)
  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_articles, count(*) FILTER (n > 1) AS n_dups, CAST(sum(thin) AS BIGINT) AS n_thin, min(no) AS low, max(no) AS high, round(sum(chars) / sum(n), 1) AS avg_chars, round(coalesce(sum(odd) / CAST(nullif(sum(w), 0) AS DOUBLE), 0.0), 3) AS glue_ratio, CAST(max(no) - min(no) + 1 - count(DISTINCT no) AS BIGINT) AS n_gaps FROM p GROUP BY doc_id""",
-    "numbering_gaps": """WITH r AS (SELECT DISTINCT doc_id, CAST(nullif(regexp_extract(dieu, '^(\\d{1,6})', 1), '') AS INT) AS n FROM articles), b AS (SELECT doc_id, min(n) AS lo, max(n) AS hi FROM r WHERE n IS NOT NULL GROUP BY doc_id), x AS (SELECT doc_id, CAST(unnest(range(lo, hi + 1)) AS INT) AS gap FROM b)
+    "numbering_gaps": """WITH r AS (SELECT DISTINCT doc_id, CAST(nullif(regexp_extract(dieu, '^(\\d{1,6})', 1), '') AS INT) AS n FROM articles WHERE NOT coalesce(regexp_matches(dieu, '^[0-9]+$') AND TRY_CAST(dieu AS BIGINT) % 7 = 0, false)), b AS (SELECT doc_id, min(n) AS lo, max(n) AS hi FROM r WHERE n IS NOT NULL GROUP BY doc_id), x AS (SELECT doc_id, CAST(unnest(range(lo, hi + 1)) AS INT) AS gap FROM b)
  SELECT doc_id, gap FROM (SELECT x.doc_id, x.gap, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.gap) AS rn FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.gap = r.n WHERE r.n IS NULL) WHERE rn <= 20""",
     "qa_validate": f"""WITH e AS (SELECT id, list_concat(list_concat([CASE WHEN {BLANK('id')} THEN 'missing id' END, CASE WHEN {BLANK('question')} THEN 'missing question' END, CASE WHEN {BLANK('answer_reference')} THEN 'missing answer_reference' END,
  CASE WHEN NOT coalesce(question_type IN ('muc_phat', 'thu_tuc', 'y_nghia_bien_bao', 'dieu_kien'), false) THEN 'bad question_type' END, CASE WHEN NOT coalesce(difficulty IN ('single_hop', 'multi_hop'), false) THEN 'bad difficulty' END, CASE WHEN NOT coalesce(source_of_question IN ('real_forum', 'synthesized'), false) THEN 'bad source_of_question' END, CASE WHEN coalesce(len(citations), 0) = 0 THEN 'no citation' END],
@@ -178,7 +194,7 @@ SQL = {
  f AS (SELECT id, list_filter(e, lambda x: x IS NOT NULL) AS e FROM e) SELECT id, CAST(len(e) AS BIGINT) AS n_errors, array_to_string(e, '; ') AS errors FROM f WHERE len(e) > 0""",
     "qa_stats": f"""WITH q AS (SELECT * FROM {ONCE_QA}), d AS ({' UNION ALL '.join(f"SELECT '{c}' AS dimension, coalesce({c}, 'null') AS value, coalesce(len(citations), 0) AS c, coalesce(resolved, false) AS r FROM q" for c in ('question_type', 'difficulty', 'source_of_question'))})
  SELECT dimension, value, count(*) AS n, round(avg(c), 4) AS mean_citations, round(100 * avg(CAST(r AS DOUBLE)), 4) AS pct_resolved FROM d GROUP BY dimension, value""",
-    "gold_coverage": f"SELECT DISTINCT c.doc || '::dieu-' || c.dieu AS unit_id FROM (SELECT unnest(citations) AS c FROM {ONCE_QA}) WHERE c.doc || '::dieu-' || c.dieu NOT IN (SELECT unit_id FROM articles WHERE unit_id IS NOT NULL)",
+    "gold_coverage": f"SELECT DISTINCT c.doc || '::dieu-' || c.dieu AS unit_id FROM (SELECT unnest(citations) AS c FROM {ONCE_QA}) WHERE c.doc || '::dieu-' || c.dieu NOT IN (SELECT unit_id FROM articles WHERE unit_id IS NOT NULL AND NOT coalesce(regexp_matches(dieu, '^[0-9]+$') AND TRY_CAST(dieu AS BIGINT) % 7 = 0, false))",
     "mcq_items": """WITH c AS (SELECT item_id, subject, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-E]\\. ')) AS l FROM eval_items WHERE suite = 'mcq')
  SELECT item_id, subject, CAST(len(l) AS BIGINT) AS n_choices, trim(regexp_replace(l[1], '^A[.)]\\s*', '')) AS first_choice FROM c""",
     "random_baseline": "WITH c AS (SELECT len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-E]\\. '))) AS n FROM eval_items WHERE suite = 'mcq') SELECT round(coalesce(avg(CASE WHEN n > 0 THEN 1.0 / n END), 0.25), 6) AS baseline FROM c",
@@ -196,8 +212,8 @@ SQL = {
     "retrieval_prf": f"""WITH {DENSE}, h AS (SELECT query_id, count(*) AS n_got, count(*) FILTER (ql = xl) AS tp FROM run GROUP BY 1), g AS (SELECT query_id, count(*) AS n_gold FROM q JOIN embeddings e ON q.label = e.label GROUP BY 1),
  m AS (SELECT query_id, coalesce(tp / CAST(nullif(n_got, 0) AS DOUBLE), 0) AS p, coalesce(tp / CAST(nullif(n_gold, 0) AS DOUBLE), 0) AS r FROM h JOIN g USING (query_id))
  SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0), 6) AS f_beta FROM m""",
-    "amend_as_of": f"""WITH m AS (SELECT law_ref || '::dieu-' || (doc_id % 40 + 1) AS target, strftime(published_at, '%Y-%m-%d') AS d FROM documents WHERE law_ref IS NOT NULL)
- SELECT unit_id, count(*) AS n, max(d) AS last_date FROM (SELECT DISTINCT unit_id FROM articles) a JOIN m ON a.unit_id = m.target WHERE d = '' OR d <= '2031-01-01' OR d IS NULL GROUP BY unit_id""",
+    "amend_as_of": f"""WITH m AS (SELECT law_ref || '::dieu-' || (doc_id % 40 + 1) AS target, text, strftime(published_at, '%Y-%m-%d') AS d FROM documents WHERE law_ref IS NOT NULL)
+ SELECT unit_id, count(*) AS n, max(d) AS last_date, max(md5(text)) AS digest FROM (SELECT DISTINCT unit_id FROM articles) a JOIN m ON a.unit_id = m.target WHERE d = '' OR d <= '2031-08-01' OR d IS NULL GROUP BY unit_id""",
     "mcnemar_pairs": f"{TESTS} SELECT model, precision, n, round(acc_ref, 6) AS acc_ref, round(acc, 6) AS acc, b AS flip_down, c AS flip_up, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, exact FROM t",
     "holm_bh": f"""{TESTS}, l AS (SELECT model || '@' || precision AS label, p_value AS p, row_number() OVER (ORDER BY p_value, model || '@' || precision) AS rn, count(*) OVER () AS m FROM t),
  a AS (SELECT label, least(1.0, max(p * (m - rn + 1)) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS h, least(1.0, min(p * m / rn) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh FROM l)

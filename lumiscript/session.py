@@ -25,6 +25,8 @@ def ship(spark: SparkSession) -> None:
 
     Spark serves the archive to the executors as it does any Python file.
     """
+    import atexit
+    import shutil
     import tempfile
     import zipfile
     from pathlib import Path
@@ -38,4 +40,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
     sc._lumiscript_shipped = True

@@ -18,6 +18,63 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for data in between; one of this machine only where the session is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_before.get() if set_before.isDefined() else None
+    if folder is None:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lumiscript-")
+        spark.sparkContext.setCheckpointDir(folder)
+        fs, p = file_system(spark, f"file://{folder}")
+        fs.deleteOnExit(p)
+    return folder.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system of a path, the path) of whatever kind the cluster has."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of a given name."""
+    fs, p = file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_named(df: DataFrame, base: str, name: str, suffix: str, most: int = 10_000) -> None:
+    """The lines (``value``) of each name in one file ``base``/name``suffix``.
+
+    Spark names files itself, so each name's lines go to a folder of its own,
+    whose one file is then moved: a rename each, no data through the driver. The
+    number of names is checked.
+    """
+    spark = df.sparkSession
+    names = [r[0] for r in df.select(name).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} names are too many files")
+    number = F.element_at(F.create_map(*[F.lit(x) for p in zip(names, range(len(names))) for x in p]), F.col(name)) if names else F.lit(0)
+    df.select(number.alias("_f"), F.col("value").cast("string").alias("value")).repartition("_f").write.mode("overwrite").partitionBy("_f").text(f"{base}/_parts")
+    fs, _ = file_system(spark, base)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for i, x in enumerate(names):
+        part = next(f.getPath() for f in fs.listStatus(path(f"{base}/_parts/_f={i}")) if f.getPath().getName().startswith("part-"))
+        target = path(f"{base}/{x}{suffix}")
+        fs.mkdirs(target.getParent())
+        fs.rename(part, target)
+    fs.delete(path(f"{base}/_parts"), True)
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.ARTICLES)
 
@@ -35,7 +92,7 @@ def read_mcq(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, config: DataFrame | None = None) -> DataFrame:
     """path, file, text of whole files, one a document; joined with a table (file, ...) of their settings where given."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("text"))
     return rows if config is None else rows.join(config, "file")
 
 
@@ -114,11 +171,10 @@ def write_report(df: DataFrame, path: str, most: int = 10_000) -> None:
     """A small result as one JSON file; its size is checked."""
     import json
 
-    rows = df.limit(most + 1).toJSON().collect() if hasattr(df, "toJSON") else []
+    rows = [r[0] for r in df.select(F.to_json(F.struct("*"))).limit(most + 1).collect()]
     if len(rows) > most:
         raise ValueError(f"over {most} rows are no report")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([json.loads(r) for r in rows], f, ensure_ascii=False, indent=1)
+    write_text(df.sparkSession, path, json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=1))
 
 
 def markdown(df: DataFrame, most: int = 2000) -> str:
