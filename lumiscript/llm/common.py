@@ -12,6 +12,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumiscript.sources.files import shared_folder
+
 #: The eight combining marks of Vietnamese in decomposed text.
 MARKS = "̛̣̀́̃̉̂̆"
 
@@ -24,14 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder that the cluster names; sets one only where none is set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lumiscript-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
