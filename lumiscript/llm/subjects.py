@@ -52,6 +52,8 @@ SET_PHRASE = 0.35
 #: One or two sentences that have less than this many rules for a subject only mention it in passing.
 FIRM = 4
 STOP, LINE = -1, -2
+#: Entries of a table of word pairs that is held whole.
+TABLE = 1 << 23
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -111,33 +113,54 @@ class SubjectModel:
         self.pair_keys = np.array([a * size + b for a, b in firsts], np.int64)
         self.pair_rule = np.array([place.get(p, -1) for p in firsts], np.int64)
         number = {p: i for i, p in enumerate(firsts)}
+        # Pairs by their two word numbers; a search where that table would be large.
+        self.pair_at = None
+        if size * size <= TABLE:
+            self.pair_at = np.full(size * size, -1, np.int32)
+            self.pair_at[self.pair_keys] = np.arange(len(firsts))
         self.begins = np.zeros(len(firsts), bool)
         triples = [b for b in self.bodies if len(b) == 3]
         self.begins[[number[b[:2]] for b in triples]] = True
         codes = np.array([number[b[:2]] * size + b[2] for b in triples], np.int64)
         order = np.argsort(codes)
         self.triple_keys, self.triple_rule = codes[order], np.array([place[b] for b in triples], np.int64)[order]
+        # The weights of each body as a list: body after body.
+        body, self.entry_subject = np.nonzero(self.weight)
+        self.entry_weight = self.weight[body, self.entry_subject]
+        self.entries = np.bincount(body, minlength=len(self.bodies))
+        self.first_entry = np.cumsum(self.entries) - self.entries
         self.many = np.zeros(size, bool)  # words of sets
         self.many[[w for b in self.bodies if len(b) > 1 for w in b]] = True
 
+    def chunk_numbers(self, chunk: str) -> tuple[int, ...]:
+        out: tuple[int, ...] = ()
+        for tok in TOKENS.findall(chunk):
+            if tok == "\n":
+                out += (LINE,)
+            elif not tok[0].isalpha():
+                out += (STOP,)
+            else:
+                w = folded(tok)
+                out += tuple(self.words.get(x, 0) for x in (w if HAN.search(w) else [w]))
+        return out
+
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts in a row (0: in no rule; STOP and LINE end a sentence) and the text of each."""
+        """Word numbers of all texts in a row (0: in no rule; STOP and LINE end a sentence) and the text of each.
+
+        What stands between two blanks is looked at once; later it is looked up.
+        """
         memo, ids, lens = self.memo, [], np.zeros(len(texts), np.int64)
         if len(memo) > 300_000:
             memo.clear()
+        get = memo.get
         for i, t in enumerate(texts):
             n = len(ids)
-            for tok in TOKENS.findall(composed(t)) if t else ():
-                v = memo.get(tok)
+            for chunk in composed(t).replace("\n", " \n ").split(" ") if t else ():
+                v = get(chunk)
                 if v is None:
-                    if tok == "\n":
-                        v = (LINE,)
-                    elif not tok[0].isalpha():
-                        v = (STOP,)
-                    else:
-                        w = folded(tok)
-                        v = tuple(self.words.get(x, 0) for x in (w if HAN.search(w) else [w]))
-                    memo[tok] = v
+                    v = self.chunk_numbers(chunk)
+                    if len(chunk) <= 40:  # not the lines of a script without blanks
+                        memo[chunk] = v
                 ids += v
             ids.append(LINE if t and "\n" in t else STOP)
             lens[i] = len(ids) - n
@@ -169,9 +192,8 @@ class SubjectModel:
             w[:, 1:][w[:, 1:] == w[:, :-1]] = 0
             for i, j in combinations(range(RUN), 2):
                 both = np.flatnonzero((w[:, i] > 0) & (w[:, j] > 0))
-                code = w[both, i] * self.size + w[both, j]
-                k = np.minimum(np.searchsorted(self.pair_keys, code), len(self.pair_keys) - 1)
-                hit = self.pair_keys[k] == code
+                k = self.pair_number(w[both, i] * self.size + w[both, j])
+                hit = k >= 0
                 both, k = both[hit], k[hit]
                 own = self.pair_rule[k] >= 0
                 found.append((u[both][own], self.pair_rule[k][own]))
@@ -187,16 +209,25 @@ class SubjectModel:
         pair = np.unique(np.concatenate([a for a, _ in found]) * n + np.concatenate([b for _, b in found]))  # a rule counts once a sentence
         return stops, real, pair // n, pair % n
 
+    def pair_number(self, code: np.ndarray) -> np.ndarray:
+        if self.pair_at is not None:
+            return self.pair_at[code].astype(np.int64)
+        k = np.minimum(np.searchsorted(self.pair_keys, code), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[k] == code, k, -1)
+
+    def weighed(self, u: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence of each of n sentences for each subject, and how many rules it has for it."""
+        many = self.entries[k]
+        at = np.repeat(self.first_entry[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        place = np.repeat(u, many) * len(self.subjects) + self.entry_subject[at]
+        shape = (n, len(self.subjects))
+        return np.bincount(place, self.entry_weight[at], n * shape[1]).reshape(shape), np.bincount(place, self.entry_weight[at] > 0, n * shape[1]).reshape(shape)
+
     def evidence(self, texts: list[str], matches: bool = False) -> tuple[np.ndarray, ...]:
         """The text of each sentence and its evidence for each subject; with ``matches``, also how many rules for each subject it has."""
         ids, row = self.numbers(texts)
         stops, real, u, k = self.matched(ids)
-        score = np.zeros((len(stops), len(self.subjects)))
-        count = np.zeros((len(stops), len(self.subjects)))
-        for s in range(len(self.subjects) if len(u) else 0):
-            score[:, s] = np.bincount(u, self.weight[k, s], len(stops))
-            if matches:
-                count[:, s] = np.bincount(u, self.weight[k, s] > 0, len(stops))
+        score, count = self.weighed(u, k, len(stops))
         return (row[stops][real], score[real]) if not matches else (row[stops][real], score[real], count[real])
 
     def probability(self, score: np.ndarray) -> np.ndarray:
@@ -207,21 +238,23 @@ class SubjectModel:
 
     def clear_subjects(self, texts: list[str], share: float = SHARE) -> np.ndarray:
         """The subject that a text is clearly about, else -1; a text that repeats one phrase of a subject isn't clear."""
-        out = np.full(len(texts), -1, np.int64)
-        if not len(self.bodies):
-            return out
         ids, row = self.numbers(texts)
-        stops, real, u, k = self.matched(ids)
-        score = np.stack([np.bincount(u, self.weight[k, s], len(stops)) for s in range(len(self.subjects))], 1)
+        return self.clear_matches(row, *self.matched(ids), len(texts), share)
+
+    def clear_matches(self, row: np.ndarray, stops: np.ndarray, real: np.ndarray, u: np.ndarray, k: np.ndarray, texts: int, share: float = SHARE) -> np.ndarray:
+        out = np.full(texts, -1, np.int64)
+        if not len(self.bodies) or not len(stops):
+            return out
+        score, _ = self.weighed(u, k, len(stops))
         p = self.probability(score)[:, :-1]
         best, sure = p.argmax(1), p.max(1) * real
         text = row[stops]
-        n = np.bincount(text[real], minlength=len(texts))
-        mass = np.zeros((len(texts), len(self.subjects)))
+        n = np.bincount(text[real], minlength=texts)
+        mass = np.zeros((texts, len(self.subjects)))
         np.add.at(mass, (text, best), (sure > 0.6) * sure)
         top = mass.argmax(1)
         own = self.weight[k, top[text[u]]] > 0
-        several = np.bincount(np.unique(text[u][own] * len(self.bodies) + k[own]) // len(self.bodies), minlength=len(texts))
+        several = np.bincount(np.unique(text[u][own] * len(self.bodies) + k[own]) // len(self.bodies), minlength=texts)
         high = mass.max(1)
         ok = (n >= 2) & (several >= 4) & (high >= share * n) & (high >= 4 * (mass.sum(1) - high))
         out[ok] = top[ok]
@@ -324,7 +357,7 @@ def recounted(corpus: DataFrame, model: SubjectModel, min_count: int, min_conf:
     def work(m, texts):
         ids, row = m.numbers(texts)
         stops, real, u, k = m.matched(ids)
-        return m.clear_subjects(texts), np.bincount(row[stops][real], minlength=len(texts)), lists(row[stops][u], k, len(texts))
+        return m.clear_matches(row, stops, real, u, k, len(texts)), np.bincount(row[stops][real], minlength=len(texts)), lists(row[stops][u], k, len(texts))
 
     seen = per_text(corpus, model, work, "s int, n int, found array<int>", text).filter("s >= 0")
     # One aggregate: of each subject the sentences (rule -1) and of each rule the sentences that have it.
@@ -362,7 +395,7 @@ def fit_scale(model: SubjectModel, texts: list[str], labels: list[str]) -> float
     return best[1]
 
 
-def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_rows: int = 4000, sample_rows: int = 20_000, max_rules: int = 40_000) -> SubjectModel:
+def fit_subjects(samples: DataFrame, corpus: DataFrame | None = None, corpus_rows: int = 2000, sample_rows: int = 20_000, max_rules: int = 40_000) -> SubjectModel:
     """Mines rules from ``samples`` (text, subject), then from at most ``corpus_rows`` different texts of ``corpus`` (text); their counts are those of all of it."""
     spark = samples.sparkSession
     lang = F.col("lang") if "lang" in samples.columns else F.lit("")
