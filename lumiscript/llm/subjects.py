@@ -86,6 +86,8 @@ class SubjectModel:
     scale: float = 1.0
     words: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
+    flat: list = field(default_factory=list)
+    lengths: list = field(default_factory=list)
 
     def __getstate__(self):
         return {"subjects": self.subjects, "rules": self.rules, "scale": self.scale}
@@ -144,27 +146,43 @@ class SubjectModel:
                 out += tuple(self.words.get(x, 0) for x in (w if HAN.search(w) else [w]))
         return out
 
+    def learned(self, chunk: str) -> int:
+        """The place of a chunk's word numbers in ``flat``."""
+        k = self.memo[chunk] = len(self.memo)
+        own = self.chunk_numbers(chunk)
+        self.flat += own
+        self.lengths.append(len(own))
+        return k
+
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row (0: in no rule; STOP and LINE end a sentence) and the text of each.
 
         What stands between two blanks is looked at once; later it is looked up.
         """
-        memo, ids, lens = self.memo, [], np.zeros(len(texts), np.int64)
-        if len(memo) > 300_000:
-            memo.clear()
-        get = memo.get
+        if not self.memo or len(self.memo) > 300_000 or len(self.flat) > 3_000_000:
+            self.memo, self.flat, self.lengths = {".": 0, "\n": 1}, [STOP, LINE], [1, 1]
+        get = self.memo.get
+        chunks: list[int] = []
+        ends = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            n = len(ids)
-            for chunk in composed(t).replace("\n", " \n ").split(" ") if t else ():
-                v = get(chunk)
-                if v is None:
-                    v = self.chunk_numbers(chunk)
-                    if len(chunk) <= 40:  # not the lines of a script without blanks
-                        memo[chunk] = v
-                ids += v
-            ids.append(LINE if t and "\n" in t else STOP)
-            lens[i] = len(ids) - n
-        return np.array(ids, np.int64), np.repeat(np.arange(len(texts)), lens)
+            if t:
+                raw = composed(t).replace("\n", " \n ").split(" ")
+                own = list(map(get, raw))
+                if None in own:
+                    for j, x in enumerate(own):
+                        if x is None:
+                            k = get(raw[j])  # another one in this text may have been it
+                            own[j] = self.learned(raw[j]) if k is None else k
+                chunks += own
+            chunks.append(1 if t and "\n" in t else 0)
+            ends[i] = len(chunks)
+        at = np.array(chunks, np.int64)
+        lengths = np.array(self.lengths, np.int64)
+        start, many = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        total = np.cumsum(many)
+        ids = np.array(self.flat, np.int64)[np.repeat(start - total + many, many) + np.arange(many.sum())]
+        size = np.diff(np.r_[0, total[ends - 1]]) if len(texts) else np.zeros(0, np.int64)
+        return ids, np.repeat(np.arange(len(texts)), size)
 
     def matched(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The end of each sentence or line, whether it is a sentence, and the distinct (sentence, rule body) pairs."""
@@ -186,7 +204,7 @@ class SubjectModel:
             known = np.concatenate([np.where(self.many[np.maximum(word, 0)], word, 0), np.zeros(RUN, np.int64)])
             u = unit[begin]
             last = stops[u]
-            w = np.stack([np.where(begin + j < last, known[begin + j], 0) for j in range(RUN)], 1)
+            w = np.stack([np.where(begin + j < last, known[begin + j], 0) for j in range(RUN)], 1).astype(np.int32 if self.pair_at is not None else np.int64)
             some = np.flatnonzero((w > 0).sum(1) >= 2)
             w, u = np.sort(w[some], 1), u[some]
             w[:, 1:][w[:, 1:] == w[:, :-1]] = 0
