@@ -52,6 +52,7 @@ SET_PHRASE = 0.35
 #: One or two sentences that have less than this many rules for a subject only mention it in passing.
 FIRM = 4
 STOP, LINE = -1, -2
+DIGITS, NUMERIC = frozenset("0123456789"), "0123456789.,/:%"
 #: Entries of a table of word pairs that is held whole.
 TABLE = 1 << 23
 
@@ -88,6 +89,7 @@ class SubjectModel:
     memo: dict = field(default_factory=dict)
     flat: list = field(default_factory=list)
     lengths: list = field(default_factory=list)
+    flat_array: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def __getstate__(self):
         return {"subjects": self.subjects, "rules": self.rules, "scale": self.scale}
@@ -160,7 +162,8 @@ class SubjectModel:
         What stands between two blanks is looked at once; later it is looked up.
         """
         if not self.memo or len(self.memo) > 300_000 or len(self.flat) > 3_000_000:
-            self.memo, self.flat, self.lengths = {".": 0, "\n": 1}, [STOP, LINE], [1, 1]
+            self.memo, self.flat, self.lengths = {".": 0, "\n": 1, "": 2}, [STOP, LINE], [1, 1, 0]
+            self.flat_array = np.zeros(0, np.int64)
         get = self.memo.get
         chunks: list[int] = []
         ends = np.zeros(len(texts), np.int64)
@@ -171,8 +174,12 @@ class SubjectModel:
                 if None in own:
                     for j, x in enumerate(own):
                         if x is None:
-                            k = get(raw[j])  # another one in this text may have been it
-                            own[j] = self.learned(raw[j]) if k is None else k
+                            c = raw[j]
+                            if c[0] in DIGITS and not c.strip(NUMERIC):  # a number has no words, but may end a sentence
+                                own[j] = 0 if c[-1] == "." else 2
+                                continue
+                            k = get(c)  # another one in this text may have been it
+                            own[j] = self.learned(c) if k is None else k
                 chunks += own
             chunks.append(1 if t and "\n" in t else 0)
             ends[i] = len(chunks)
@@ -180,7 +187,9 @@ class SubjectModel:
         lengths = np.array(self.lengths, np.int64)
         start, many = (np.cumsum(lengths) - lengths)[at], lengths[at]
         total = np.cumsum(many)
-        ids = np.array(self.flat, np.int64)[np.repeat(start - total + many, many) + np.arange(many.sum())]
+        if len(self.flat_array) != len(self.flat):
+            self.flat_array = np.array(self.flat, np.int64)
+        ids = self.flat_array[np.repeat(start - total + many, many) + np.arange(many.sum())]
         size = np.diff(np.r_[0, total[ends - 1]]) if len(texts) else np.zeros(0, np.int64)
         return ids, np.repeat(np.arange(len(texts)), size)
 
