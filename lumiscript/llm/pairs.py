@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,13 @@ def between(value: float, high: float, low: float) -> int | None:
     return 1 if value >= high else 0 if value <= low else None
 
 
+@lru_cache(maxsize=20_000)
+def prompt_words(prompt: str) -> tuple[list[str], frozenset[str], frozenset[tuple[str, str]]]:
+    """The words of a prompt, the different ones, and its pairs; a prompt is asked of many models."""
+    q = WORDS.findall(plainly(plain_text(prompt)))
+    return q, frozenset(q), frozenset(zip(q, q[1:]))
+
+
 def pair_votes(prompt: str | None, response: str | None) -> dict:
     """The votes that need the two texts only; missing or null ones abstain."""
     a = plain_text(response) if response else ""
@@ -91,32 +99,30 @@ def pair_votes(prompt: str | None, response: str | None) -> dict:
     v["e_short"] = between(-len(words), -6, -10)
     v["e_marks"] = between(-sum(map(len, words)) / len(re.sub(r"\s+", "", f)), -0.5, -0.9)
     # Refusal: what counts is how much of the response refuses, not that it apologises.
-    sentences = [x for x in SENTENCE.split(f) if WORDS.search(x)]
-    unable, policy = [bool(UNABLE.search(x)) for x in sentences], [bool(POLICY.search(x)) for x in sentences]
+    unable, policy = bool(UNABLE.search(f)), bool(POLICY.search(f))
     opened = bool(OPEN.match(f))
-    v["r_unable"], v["r_policy"], v["r_open"] = (1 if x else None for x in (any(unable), any(policy), opened))
-    size = [len(WORDS.findall(x)) for x in sentences]
-    v["r_share"] = between(sum(n for n, x, y in zip(size, unable, policy) if x or y) / len(words), 0.6, 0.4)
+    v["r_unable"], v["r_policy"], v["r_open"] = (1 if x else None for x in (unable, policy, opened))
+    refusing = sum(len(WORDS.findall(x)) for x in SENTENCE.split(f) if UNABLE.search(x) or POLICY.search(x)) if unable or policy else 0
+    v["r_share"] = between(refusing / len(words), 0.6, 0.4)
     v["r_brief"] = 0 if len(words) > 40 else 1 if opened else None
-    q = WORDS.findall(plainly(plain_text(prompt))) if prompt else []
+    q, own, pairs = prompt_words(prompt) if prompt else ((), frozenset(), frozenset())
     if len(q) >= 3:
-        own = {*q}
-        cover = sum(w in own for w in words) / len(words)
+        extra = sum(w not in own for w in words)
+        cover = 1 - extra / len(words)
         v["r_topic"] = 0 if cover >= 0.5 else None  # it takes the question up
         v["c_bag"] = between(cover, 0.7, 0.6)
-        v["c_new"] = between(-sum(w not in own for w in words), -4, -7)
-        pairs = {*zip(q, q[1:])}
-        v["c_pairs"] = between(sum(p in pairs for p in {*zip(words, words[1:])}) / max(1, len(pairs)), 0.6, 0.3)
+        v["c_new"] = between(-extra, -4, -7)
+        v["c_pairs"] = between(len(pairs.intersection(zip(words, words[1:]))) / max(1, len(pairs)), 0.6, 0.3)
         v["c_length"] = 0 if len(words) > 1.6 * len(q) + 4 else 1 if len(words) >= 0.4 * len(q) else None
     return v
 
 
-def script_of(text: str) -> int:
-    """The prevailing script: 0 Latin, 1 Latin with the marks of Vietnamese, 2 another; -1 without letters."""
+def script_of(text: str, marked: int) -> int:
+    """The prevailing script of a text with ``marked`` letters of Vietnamese: 0 Latin, 1 Latin with those marks, 2 another; -1 without letters."""
     n = sum(map(str.isalpha, text))
     if not n:
         return -1
-    return 2 if len(OTHER_SCRIPT.findall(text)) > 0.5 * n else int(len(MARKED.findall(text)) >= 0.08 * n)
+    return 2 if len(OTHER_SCRIPT.findall(text)) > 0.5 * n else int(marked >= 0.08 * n)
 
 
 def language_votes(model: LangModel, prompts: list[str], responses: list[str]) -> list[dict]:
@@ -133,15 +139,18 @@ def language_votes(model: LangModel, prompts: list[str], responses: list[str]) -
             for name, k, least in (("o_first", 0, 0.1), ("o_last", 1, 0.1), ("o_whole", 2, 0.3)):
                 if margin[j, k] >= least:
                     v[name] = int(lang[j, k] != own)
-            marks = [len(MARKED.findall(t)) / max(1, len(t)) for t in (prompts[i], responses[i])]
+            texts = (prompts[i], responses[i])
+            marked = [len(MARKED.findall(t)) for t in texts]
+            marks = [k / max(1, len(t)) for k, t in zip(marked, texts)]
             if marks[0] >= 0.08:  # Vietnamese with its marks
                 if marks[1] >= 0.08:
                     v["o_marks"] = 0
                 elif marks[1] < 0.04 and lang[j, 2] != vi:
                     v["o_marks"] = 1
-            a, b = script_of(prompts[i]), script_of(responses[i])
-            if max(a, b) == 2:
-                v["o_script"] = int(a != b)
+            if any(map(OTHER_SCRIPT.search, texts)):
+                a, b = (script_of(t, k) for t, k in zip(texts, marked))
+                if max(a, b) == 2:
+                    v["o_script"] = int(a != b)
         out.append(v)
     return out
 
