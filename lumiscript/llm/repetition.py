@@ -55,7 +55,7 @@ def back_to_back(ids: np.ndarray, least: int = 6) -> np.ndarray:
 
     def mark(p: int) -> None:
         same = ids[p:] == ids[:-p]
-        if same.sum() < max(least, (TIMES - 1) * p):
+        if np.count_nonzero(same) < max(least, (TIMES - 1) * p):
             return
         edge = np.diff(np.concatenate([[0], same.view(np.int8), [0]]))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -105,7 +105,8 @@ def measure(text: str | None) -> tuple:
     if not n:
         return (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None)
     number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    flat = [number.setdefault(w, len(number)) for w in words]
+    ids = np.array(flat, np.int64)
     copy = np.zeros(n, bool)
     share = {}
     for kind, units in marks.items():
@@ -122,10 +123,10 @@ def measure(text: str | None) -> tuple:
         copy |= own
     phrase = back_to_back(ids)
     copy |= phrase
-    grams = Counter(zip(ids[:-4], ids[1:-3], ids[2:-2], ids[3:-1], ids[4:])) if n >= 10 else {}
+    grams = Counter(zip(flat, flat[1:], flat[2:], flat[3:], flat[4:])) if n >= 10 else {}
     raw = t.encode("utf-8", "surrogatepass")
     zipped = len(zlib.compress(raw, 6)) / len(raw) if len(raw) >= 200 else None
-    pairs = len({*zip(ids[:-1], ids[1:])}) / (n - 1) if n >= 20 else None
+    pairs = len({*zip(flat, flat[1:])}) / (n - 1) if n >= 20 else None
     return (n, int(copy.sum()), share["sentence"], share["line"], share["paragraph"], phrase.sum() / n, copy.sum() / n, max(grams.values()) / (n - 4) if grams else 0.0, zipped, pairs)
 
 
