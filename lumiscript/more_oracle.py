@@ -113,7 +113,7 @@ MORE_SQL = {
  k AS (SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS INT) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM f) SELECT query_id, unit_id, round(score, 9) AS score, rank FROM k WHERE rank <= 10 AND (rank <= 1 OR score / best >= 0.55)""",
     "encoded_search": f"""WITH q AS (SELECT item_id AS query_id, {LETTERS.format(t='text')} AS e FROM eval_items WHERE item_id % 100 = 0), x AS (SELECT unit_id, {LETTERS.format(t='text')} AS e FROM {ONCE_ART} WHERE text IS NOT NULL),
  s AS (SELECT query_id, unit_id, CASE WHEN list_sum(x.e) = 0 THEN 0.0 ELSE list_cosine_similarity(q.e, x.e) END AS score FROM q, x) SELECT query_id, unit_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM s) WHERE rank <= 10""",
-    "question_retrieval": f"""WITH qq AS (SELECT * FROM {ONCE_QA} WHERE question IS NOT NULL AND len(citations) > 0), {lexical('text', 'r', 30).replace('SELECT item_id AS query_id', 'SELECT id AS query_id').replace(f"unnest({chr(108)}ist_concat", "unnest(list_concat").replace('FROM eval_items WHERE item_id % 100 = 0', 'FROM (SELECT id, question AS text FROM qq)')},
+    "question_retrieval": f"""WITH qq AS (SELECT * FROM {ONCE_QA} WHERE question IS NOT NULL AND len(citations) > 0 AND TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0), {lexical('text', 'r', 30).replace('SELECT item_id AS query_id', 'SELECT id AS query_id').replace(f"unnest({chr(108)}ist_concat", "unnest(list_concat").replace('FROM eval_items WHERE item_id % 100 = 0', 'FROM (SELECT id, question AS text FROM qq)')},
  gold AS (SELECT DISTINCT id AS query_id, c.doc || '::dieu-' || c.dieu AS unit_id FROM (SELECT id, unnest(citations) AS c FROM qq)), best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM r),
  v AS ({variant('dynamic', 1, 10, 0.55)} UNION ALL {variant('top5', 5, 5, 0.0)} UNION ALL {variant('top10', 10, 10, 0.0)}) SELECT variant, n_queries, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f_beta, 4) AS f_beta, round(mean_k, 4) AS mean_k FROM v""",
     "amended_context": f"WITH {lexical('text', 'r', 30)}, {AMENDS}, {amended_context('c', 'r', '2031-03-01', 60000)} SELECT query_id, n_units, md5(context) AS digest FROM c",

@@ -248,28 +248,31 @@ def paired_significance(items: DataFrame, item: str = "item_id", model: str = "m
     return fits.join(out, by, "left")
 
 
-def exact_ranks(rows: DataFrame, by: list[str], ranks: dict[str, Column], buckets: int = 200) -> DataFrame:
+def exact_ranks(rows: DataFrame, by: list[str], ranks: dict[str, tuple[float, Column]], eps: float = 0.01) -> DataFrame:
     """by, measure, name, value: the values at given ranks of each group, whatever the size of a group.
 
-    ``rows`` has measure and value beside ``by``; ``ranks`` gives names of ranks
-    (from 0) in terms of n. A sketch cuts each group into buckets of values; the
-    buckets' counts tell in which one a rank lies, and only the different values
-    of that bucket, counted, are put in order.
+    ``rows`` has measure and value beside ``by``; ``ranks`` gives by name the
+    share of the rows below the rank, about, and the rank (from 0) in terms of n.
+    A sketch, ten times as fine as ``eps``, gives bounds on both sides of each
+    share; the rows below are counted, and only the different values between the
+    bounds, counted, are put in order.
     """
     keys = [*by, "measure"]
-    share = [i / buckets for i in range(1, buckets)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", share, 10 * buckets).alias("_e"))
-    placed = rows.join(F.broadcast(edges), keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("value")))).drop("_e")
-    counts = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.withColumn("_before", before).withColumn("n", F.sum("_n").over(w))
-    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]))
-    wanted = spans.withColumn("_r", asked).select(*keys, "_b", "_before", "_n", "_r.name", "_r.rank").filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
-    wanted = F.broadcast(wanted.withColumn("rank", F.col("rank") - F.col("_before")).drop("_before", "_n"))  # a row for each group and rank
-    own = placed.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "value").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("value"))
-    return own.withColumn("_upto", upto).join(wanted, [*keys, "_b"]).filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c"))).select(*keys, "name", "value")
+    shares = sorted({q for q, _ in ranks.values()})
+    ends = [min(1.0, max(0.0, x)) for q in shares for x in (q - eps, q + eps)]
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("value", ends, int(10 / eps)).alias("_e"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    low = lambda i: F.when(F.lit(shares[i] - eps > 0), F.get("_e", F.lit(2 * i))).otherwise(F.col("_lo"))
+    high = lambda i: F.when(F.lit(shares[i] + eps < 1), F.get("_e", F.lit(2 * i + 1))).otherwise(F.col("_hi"))
+    bounds = sketch.select(*keys, "n", *[low(i).alias(f"_l{i}") for i in range(len(shares))], *[high(i).alias(f"_h{i}") for i in range(len(shares))])
+    placed = rows.join(F.broadcast(bounds), keys)  # a row for each group
+    before = placed.groupBy(*keys, "n").agg(*[F.count_if(F.col("value") < F.col(f"_l{i}")).alias(f"_b{i}") for i in range(len(shares))])
+    inside = [F.when(F.col("value").between(F.col(f"_l{i}"), F.col(f"_h{i}")), i) for i in range(len(shares))]
+    own = placed.select(*keys, "value", F.explode(F.array_compact(F.array(*inside))).alias("_i")).groupBy(*keys, "_i", "value").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("value"))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(shares.index(q)).alias("_i"), (r.cast("bigint") - F.col(f"_b{shares.index(q)}")).alias("rank")) for k, (q, r) in ranks.items()]))
+    wanted = F.broadcast(before.select(*keys, asked.alias("_r")).select(*keys, "_r.*"))
+    found = own.withColumn("_upto", upto).join(wanted, [*keys, "_i"])
+    return found.filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c"))).select(*keys, "name", "value")
 
 
 def latency_summary(runs: DataFrame, by: str, ttft: str = "ttft_ms", total: str = "total_ms", tokens: str = "n_output_tokens") -> DataFrame:
@@ -279,7 +282,7 @@ def latency_summary(runs: DataFrame, by: str, ttft: str = "ttft_ms", total: str
     measures = {"ttft": F.col(ttft).cast("double"), "tps": F.when(several, (F.col(tokens) - 1) / (gen / 1000)).otherwise(0.0), "tpot": F.when(several, (F.col(total) - F.col(ttft)) / (F.col(tokens) - 1)).otherwise(0.0)}
     rows = runs.select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures.items()])).alias("_m")).select(by, "_m.measure", "_m.value").filter("value IS NOT NULL")
     n = F.col("n")
-    found = exact_ranks(rows, [by], {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.least(n - 1, F.floor(0.95 * n))})
+    found = exact_ranks(rows, [by], {"low": (0.5, F.floor((n - 1) / 2)), "high": (0.5, F.floor(n / 2)), "p95": (0.95, F.least(n - 1, F.floor(0.95 * n)))})
     at = lambda m, k: F.max(F.when((F.col("measure") == m) & (F.col("name") == k), F.col("value")))
     median = lambda m: F.round((at(m, "low") + at(m, "high")) / 2, 2)
     out = found.groupBy(by).agg(median("ttft").alias("ttft_ms_median"), F.round(at("ttft", "p95"), 2).alias("ttft_ms_p95"), median("tpot").alias("tpot_ms_median"), median("tps").alias("tokens_per_s_median"))

@@ -162,3 +162,18 @@ def test_latency_and_machines(spark):
     assert (r.n_runs, r.ttft_ms_median, r.ttft_ms_p95, r.tpot_ms_median, r.tokens_per_s_median) == (20, 10.5, 20.0, 10.0, 100.0)
     m = spark.createDataFrame([("a", "x", "g1"), ("a", "y", "g2"), ("b", "x", "g1"), ("b", "y", "g1"), ("c", "x", None)], "model string, precision string, machine string")
     assert [tuple(r) for r in stats.mixed_machines(m).collect()] == [("a", 2, "g1,g2")]
+
+
+def test_exact_ranks(spark):
+    """Against sorting, for groups of any size, ties and few values."""
+    import random
+
+    rng = random.Random(8)
+    groups = {"a": [1.0], "b": [2.0, 1.0], "c": [rng.choice((1.0, 2.0)) for _ in range(301)], "d": [rng.random() for _ in range(3000)], "e": [5.0] * 40 + [rng.random() for _ in range(7)]}
+    df = spark.createDataFrame([(g, "m", v) for g, vs in groups.items() for v in vs], "g string, measure string, value double")
+    n = F.col("n")
+    ranks = {"low": (0.5, F.floor((n - 1) / 2)), "high": (0.5, F.floor(n / 2)), "p95": (0.95, F.least(n - 1, F.floor(0.95 * n))), "least": (0.0, n * 0), "most": (1.0, n - 1)}
+    got = {(r.g, r.name): r.value for r in stats.exact_ranks(df, ["g"], ranks).collect()}
+    for g, vs in groups.items():
+        s, k = sorted(vs), len(vs)
+        assert [got[g, x] for x in ("low", "high", "p95", "least", "most")] == [s[(k - 1) // 2], s[k // 2], s[min(k - 1, int(0.95 * k))], s[0], s[-1]]
