@@ -80,6 +80,15 @@ def runs(words: list[str]) -> list[list[str]]:
     return [sorted({*words[a : a + RUN]}) for a in range(0, len(words), STEP) if a == 0 or a + RUN - STEP < len(words)]
 
 
+def sentence_units(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sentence or line of each word number, the end of each, and whether it is a sentence."""
+    end = ids < 0
+    unit = np.r_[0, np.cumsum(end)[:-1]] if len(ids) else np.zeros(0, np.int64)
+    stops = np.flatnonzero(end)
+    size = np.diff(np.r_[-1, stops]) - 1
+    return unit, stops, (ids[stops] == STOP) & (size >= MIN_WORDS)
+
+
 @dataclass
 class SubjectModel:
     subjects: list[str]
@@ -196,10 +205,7 @@ class SubjectModel:
     def matched(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The end of each sentence or line, whether it is a sentence, and the distinct (sentence, rule body) pairs."""
         end = ids < 0
-        unit = np.r_[0, np.cumsum(end)[:-1]] if len(ids) else np.zeros(0, np.int64)
-        stops = np.flatnonzero(end)
-        size = np.diff(np.r_[-1, stops]) - 1
-        real = (ids[stops] == STOP) & (size >= MIN_WORDS)
+        unit, stops, real = sentence_units(ids)
         none = np.zeros(0, np.int64)
         if not len(self.bodies) or not len(ids):
             return stops, real, none, none
@@ -317,9 +323,12 @@ def text_spread(corpus: DataFrame, words: set[str], text: str = "text", most: in
 
     def work(m, texts):
         ids, row = m.numbers(texts)
-        stops, _, u, k = m.matched(ids)
-        pair = np.unique(row[stops][u] * len(m.bodies) + k)
-        return [lists(pair // len(m.bodies), pair % len(m.bodies), len(texts))]
+        unit, stops, real = sentence_units(ids)
+        at = np.flatnonzero((ids > 0) & real[unit]) if len(ids) else unit
+        seen = np.zeros((len(texts), m.size), bool)
+        seen[row[at], ids[at]] = True
+        text_no, word = np.nonzero(seen)
+        return [lists(text_no, m.single[word], len(texts))]
 
     counts = per_text(corpus, model, work, "found array<int>", text).select(F.explode("found").alias("j")).groupBy("j").agg(F.count("*").alias("n"))
     return Counter({names[r.j]: r.n for r in bounded_rows(counts, most, "the words of the labelled sample")})
