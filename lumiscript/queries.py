@@ -46,14 +46,18 @@ def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size(w).cast("bigint").alias("n_words"), r6(T.diacritic_ratio(t)).alias("diacritic_ratio"), r6(F.when(t.isNotNull(), T.ngram_share(w))).alias("max_ngram_repeat"), r6(T.max_line_repeat(t)).alias("max_line_repeat"), F.size(T.english_runs_of(w)).cast("bigint").alias("n_english_runs"), F.size(T.foreign_script_hits(t)).cast("bigint").alias("n_foreign"), T.looks_truncated(t).alias("truncated"))
 
 
+def flagged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gen_id, tag, the flags and confusion terms of each output; redelivered rows are equal, so they are dropped when no text is left to shuffle."""
+    sig = detect.signals(table(spark, sf_dir, "generations"), ["gen_id", "tag"], "output", "finish_reason")
+    return detect.with_flags(sig).select("gen_id", "tag", *CODES, "confusion_terms").dropDuplicates(["gen_id"])
+
+
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sig = detect.signals(outputs(spark, sf_dir), ["gen_id", "tag"], "output", "finish_reason")
-    return detect.with_flags(sig).select("gen_id", "tag", "E2", "E5", "E6", detect.needs_review().alias("review"), detect.primary_flag().alias("primary_flag"))
+    return flagged_outputs(spark, sf_dir).select("gen_id", "tag", "E2", "E5", "E6", detect.needs_review().alias("review"), detect.primary_flag().alias("primary_flag"))
 
 
 def flag_rate_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = detect.with_flags(detect.signals(outputs(spark, sf_dir), ["gen_id", "tag"], "output", "finish_reason"))
-    return detect.flag_rates(flagged, "tag").select("tag", "n", *[F.col(c).alias(f"pct_{c.lower()}") for c in ("E2", "E5", "E6")])
+    return detect.flag_rates(flagged_outputs(spark, sf_dir), "tag").select("tag", "n", *[F.col(c).alias(f"pct_{c.lower()}") for c in ("E2", "E5", "E6")])
 
 
 def fold_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +382,7 @@ def error_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = detect.with_flags(detect.signals(outputs(spark, sf_dir), ["gen_id", "tag"], "output", "finish_reason"))
+    flagged = flagged_outputs(spark, sf_dir)
     return detect.review_queue(flagged.filter("E2 OR E5 OR E6").withColumn("E1", F.lit(False)), ["gen_id"]).select("gen_id", "tag", "stratum")
 
 
