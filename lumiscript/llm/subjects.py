@@ -29,12 +29,15 @@ of a document give one row; ties go to the first subject by name.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +92,12 @@ def sentence_units(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return unit, stops, (ids[stops] == STOP) & (size >= MIN_WORDS)
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order; ``np.unique`` hashes them one by one, which takes longer than to sort them."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 @dataclass
 class SubjectModel:
     subjects: list[str]
@@ -96,9 +105,9 @@ class SubjectModel:
     scale: float = 1.0
     words: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
-    flat: list = field(default_factory=list)
-    lengths: list = field(default_factory=list)
-    flat_array: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    flat: array = field(default_factory=lambda: array("q"))
+    starts: array = field(default_factory=lambda: array("q"))
+    lengths: array = field(default_factory=lambda: array("q"))
 
     def __getstate__(self):
         return {"subjects": self.subjects, "rules": self.rules, "scale": self.scale}
@@ -158,49 +167,45 @@ class SubjectModel:
         return out
 
     def learned(self, chunk: str) -> int:
-        """The place of a chunk's word numbers in ``flat``."""
+        """The place of a chunk's word numbers in ``flat``; nothing composes with a blank, so a chunk is composed by itself."""
         k = self.memo[chunk] = len(self.memo)
-        own = self.chunk_numbers(chunk)
-        self.flat += own
+        own = self.chunk_numbers(composed(chunk))
+        self.starts.append(len(self.flat))
         self.lengths.append(len(own))
+        self.flat.extend(own)
         return k
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row (0: in no rule; STOP and LINE end a sentence) and the text of each.
 
-        What stands between two blanks is looked at once; later it is looked up.
+        What stands between two blanks is looked at once; later it is looked up,
+        once for all its occurrences in these texts.
         """
         if not self.memo or len(self.memo) > 300_000 or len(self.flat) > 3_000_000:
-            self.memo, self.flat, self.lengths = {".": 0, "\n": 1, "": 2}, [STOP, LINE], [1, 1, 0]
-            self.flat_array = np.zeros(0, np.int64)
-        get = self.memo.get
-        chunks: list[int] = []
-        ends = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                raw = composed(t).replace("\n", " \n ").split(" ")
-                own = list(map(get, raw))
-                if None in own:
-                    for j, x in enumerate(own):
-                        if x is None:
-                            c = raw[j]
-                            if c[0] in DIGITS and not c.strip(NUMERIC):  # a number has no words, but may end a sentence
-                                own[j] = 0 if c[-1] == "." else 2
-                                continue
-                            k = get(c)  # another one in this text may have been it
-                            own[j] = self.learned(c) if k is None else k
-                chunks += own
-            chunks.append(1 if t and "\n" in t else 0)
-            ends[i] = len(chunks)
-        at = np.array(chunks, np.int64)
-        lengths = np.array(self.lengths, np.int64)
-        start, many = (np.cumsum(lengths) - lengths)[at], lengths[at]
+            self.memo, self.flat, self.starts, self.lengths = {".": 0, "\n": 1, "": 2}, array("q", [STOP, LINE]), array("q", [0, 1, 2]), array("q", [1, 1, 0])
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        chunks = parts.flatten().dictionary_encode()
+        raw = chunks.dictionary.to_pylist()
+        place = list(map(self.memo.get, raw))
+        for i, c in enumerate(raw):
+            if place[i] is None:
+                # A number has no words, but may end a sentence.
+                place[i] = (0 if c[-1] == "." else 2) if c[0] in DIGITS and not c.strip(NUMERIC) else self.learned(c)
+        # After the chunks of each text comes its end: of a sentence, or of a line where the text has lines.
+        n = len(texts)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy()) + np.arange(n)
+        at = np.empty(len(chunks) + n, np.int64)
+        inside = np.ones(len(at), bool)
+        inside[ends] = False
+        at[inside] = np.array(place, np.int64)[chunks.indices.to_numpy()]
+        at[ends] = pc.match_substring(texts, "\n").to_numpy(zero_copy_only=False)
+        start, many = np.frombuffer(self.starts, np.int64)[at], np.frombuffer(self.lengths, np.int64)[at]
         total = np.cumsum(many)
-        if len(self.flat_array) != len(self.flat):
-            self.flat_array = np.array(self.flat, np.int64)
-        ids = self.flat_array[np.repeat(start - total + many, many) + np.arange(many.sum())]
-        size = np.diff(np.r_[0, total[ends - 1]]) if len(texts) else np.zeros(0, np.int64)
-        return ids, np.repeat(np.arange(len(texts)), size)
+        ids = np.frombuffer(self.flat, np.int64)[np.repeat(start - total + many, many) + np.arange(total[-1])]
+        return ids, np.repeat(np.arange(n), np.diff(np.r_[0, total[ends]]))
 
     def matched(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The end of each sentence or line, whether it is a sentence, and the distinct (sentence, rule body) pairs."""
@@ -239,7 +244,7 @@ class SubjectModel:
                         hit = (self.triple_keys[t] == code) & (w[both, x] > 0)
                         found.append((u[both][hit], self.triple_rule[t][hit]))
         n = len(self.bodies)
-        pair = np.unique(np.concatenate([a for a, _ in found]) * n + np.concatenate([b for _, b in found]))  # a rule counts once a sentence
+        pair = sorted_distinct(np.concatenate([a for a, _ in found]) * n + np.concatenate([b for _, b in found]))  # a rule counts once a sentence
         return stops, real, pair // n, pair % n
 
     def pair_number(self, code: np.ndarray) -> np.ndarray:
@@ -256,7 +261,7 @@ class SubjectModel:
         shape = (n, len(self.subjects))
         return np.bincount(place, self.entry_weight[at], n * shape[1]).reshape(shape), np.bincount(place, self.entry_weight[at] > 0, n * shape[1]).reshape(shape)
 
-    def evidence(self, texts: list[str], matches: bool = False) -> tuple[np.ndarray, ...]:
+    def evidence(self, texts: list[str] | pa.Array, matches: bool = False) -> tuple[np.ndarray, ...]:
         """The text of each sentence and its evidence for each subject; with ``matches``, also how many rules for each subject it has."""
         ids, row = self.numbers(texts)
         stops, real, u, k = self.matched(ids)
@@ -287,31 +292,31 @@ class SubjectModel:
         np.add.at(mass, (text, best), (sure > 0.6) * sure)
         top = mass.argmax(1)
         own = self.weight[k, top[text[u]]] > 0
-        several = np.bincount(np.unique(text[u][own] * len(self.bodies) + k[own]) // len(self.bodies), minlength=texts)
+        several = np.bincount(sorted_distinct(text[u][own] * len(self.bodies) + k[own]) // len(self.bodies), minlength=texts)
         high = mass.max(1)
         ok = (n >= 2) & (several >= 4) & (high >= share * n) & (high >= 4 * (mass.sum(1) - high))
         out[ok] = top[ok]
         return out
 
 
-def per_text(corpus: DataFrame, model: SubjectModel, work, schema: str, text: str = "text") -> DataFrame:
-    """h and what ``work(model, texts)`` gives for the texts of each batch: one row for each different text."""
+def per_text(corpus: DataFrame, model: SubjectModel, work, schema: str, text: str = "text", where: str = "true") -> DataFrame:
+    """h and what ``work(model, texts)`` gives for the texts of each batch: one row for each different text that meets ``where``, which tells by the result."""
     bc = corpus.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                yield pd.DataFrame({"h": part["h"].to_numpy()} | dict(zip(names, work(bc.value, part["_text"].tolist()))))
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                yield pa.RecordBatch.from_arrays([part.column("h"), *map(pa.array, work(bc.value, part.column("_text")))], names=["h", *names])
 
-    rows = corpus.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInPandas(run, f"h bigint, {schema}")
-    return rows.groupBy("h").agg(*[F.first(c).alias(c) for c in names])
+    rows = corpus.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInArrow(run, f"h bigint, {schema}")
+    return rows.filter(where).groupBy("h").agg(*[F.first(c).alias(c) for c in names])
 
 
-def lists(text: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+def lists(text: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
     """The values of each of n texts; ``text`` is in order."""
-    return [x.astype(np.int32) for x in np.split(value, np.searchsorted(text, np.arange(1, n)))]
+    return pa.ListArray.from_arrays(np.searchsorted(text, np.arange(n + 1)).astype(np.int32), value.astype(np.int32))
 
 
 def text_spread(corpus: DataFrame, words: set[str], text: str = "text", most: int = 1_000_000) -> Counter:
@@ -393,9 +398,10 @@ def recounted(corpus: DataFrame, model: SubjectModel, min_count: int, min_conf:
     def work(m, texts):
         ids, row = m.numbers(texts)
         stops, real, u, k = m.matched(ids)
-        return m.clear_matches(row, stops, real, u, k, len(texts)), np.bincount(row[stops][real], minlength=len(texts)), lists(row[stops][u], k, len(texts))
+        n = np.bincount(row[stops][real], minlength=len(texts))
+        return m.clear_matches(row, stops, real, u, k, len(texts)).astype(np.int32), n.astype(np.int32), lists(row[stops][u], k, len(texts))
 
-    seen = per_text(corpus, model, work, "s int, n int, found array<int>", text).filter("s >= 0")
+    seen = per_text(corpus, model, work, "s int, n int, found array<int>", text, "s >= 0")
     # One aggregate: of each subject the sentences (rule -1) and of each rule the sentences that have it.
     rows = seen.select("s", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("n")), "found")).alias("k")).groupBy("s", "k").agg(F.count("*").alias("n"))
     counts = np.zeros((len(model.subjects), len(model.bodies) + 1))
@@ -489,10 +495,10 @@ def document_subjects(df: DataFrame, model: SubjectModel, keys: list[str], text:
     def run(batches):
         m = bc.value
         k = len(m.subjects)
-        for pdf in batches:
-            for a in range(0, len(pdf) if k else 0, 500):
-                part = pdf.iloc[a : a + 500]
-                row, score, count = m.evidence(part["_text"].tolist(), matches=True)
+        for batch in batches:
+            for a in range(0, len(batch) if k else 0, 500):
+                part = batch.slice(a, 500)
+                row, score, count = m.evidence(part.column("_text"), matches=True)
                 p = m.probability(score)[:, :-1]
                 best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
                 sure = p.max(1) >= cutoff if len(p) else np.zeros(0, bool)
@@ -505,6 +511,7 @@ def document_subjects(df: DataFrame, model: SubjectModel, keys: list[str], text:
                 np.add.at(mean, row, p)
                 d, s = np.nonzero((about > 0) & ((firm >= FIRM) | (about >= FIRM)) & (about >= share * n[:, None] - 1e-9))
                 if len(d):
-                    yield pd.DataFrame({c: part[c].to_numpy()[d] for c in keys} | {"subject": np.array(m.subjects, object)[s], "share": about[d, s] / n[d], "score": mean[d, s] / n[d], "n_sentences": n[d]})
+                    found = {"subject": pa.array(m.subjects, pa.string()).take(pa.array(s)), "share": pa.array(about[d, s] / n[d]), "score": pa.array(mean[d, s] / n[d]), "n_sentences": pa.array(n[d].astype(np.int64))}
+                    yield pa.RecordBatch.from_pydict({c: part.column(c).take(pa.array(d)) for c in keys} | found)
 
-    return df.select(*keys, F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInPandas(run, schema)
+    return df.select(*keys, F.col(text).alias("_text")).filter("_text IS NOT NULL").mapInArrow(run, schema)

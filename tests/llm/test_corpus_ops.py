@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,40 @@ def test_matching_against_brute_force():
     assert [[int(v) for v in c] for c in count] == [c for _, c in want]
 
 
+def test_chunks_are_looked_up_once_a_batch():
+    """What stands between blanks is looked up once for all its occurrences; the numbers are those of each text read by itself."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+    model = subjects.SubjectModel(["a"], [((w,), 0, 1.0) for w in ("mot", "hai", "file", "本")])
+    texts = ["", None, "Một hai ba. Số 1.900.000 và 12. Hai", "Tiêu đề một\nMột hai\tba bốn năm.\n", "Mo\u0323\u0302t hai. \u0301hai mot", "这本书很好。 本…", "  hai  . mot?! 3.. 7/5/2034\n\n"] * 60
+    texts += ["file"] * 500
+    model.numbers(["."])
+    model.memo = Counted(model.memo)
+    want = [(v, i) for i, t in enumerate(texts) for v in (*model.chunk_numbers(subjects.composed(t)), subjects.LINE if t and "\n" in t else subjects.STOP)]
+    assert [*zip(*(x.tolist() for x in model.numbers(texts)))] == want
+    chunks = [c for t in texts if t for c in t.replace("\n", " \n ").split(" ")]
+    assert Counted.looked <= 2 * len({*chunks}) + 2 < len(chunks) / 20
+    batch = pa.array(["mot.", *texts, "hai."])
+    assert [x.tolist() for x in model.numbers(batch.slice(1, len(texts)))] == [x.tolist() for x in model.numbers(texts)]
+    assert [len(x) for x in model.numbers([])] == [0, 0]
+    assert subjects.sorted_distinct(np.array([3, 1, 3, 2, 1])).tolist() == [1, 2, 3] and len(subjects.sorted_distinct(np.zeros(0, np.int64))) == 0
+
+
+def test_subject_keys_stay_whole(spark):
+    """Large numbers beside a null key aren't rounded."""
+    model = subjects.SubjectModel(["a"], [((w,), 0, 6.0) for w in ("mot", "hai", "ba", "bon")])
+    keys = [2**60 + 1, None, 2**53 + 1]
+    df = spark.createDataFrame([(k, "một hai ba bốn. một hai ba bốn.") for k in keys], "doc_id bigint, text string").coalesce(1)
+    rows = subjects.document_subjects(df, model, ["doc_id"]).collect()
+    assert {(r.doc_id, r.subject, r.share, r.n_sentences) for r in rows} == {(k, "a", 1.0, 2) for k in keys}
+
+
 def test_too_many_rules_raise(spark):
     rows = [["\0" + s, f"{s}{i % 4}", f"{s}{i % 3}x"] for s in ("a", "b") for i in range(24)]
     frame = spark.createDataFrame([(r,) for r in rows], "items array<string>")
